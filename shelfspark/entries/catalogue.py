@@ -10,7 +10,7 @@ from shelfspark.plans.views import Catalogue, with_views
 AS_OF, MAX_AGE = "2001-07-01", 336
 CUT = "TIMESTAMP '2001-06-17 00:00:00'"
 NEAR = (46.5, 28.5, 150.0)
-CITY = "FRANCE"
+CITY = " Nation_3 "
 BOX = q.bounding_box(*NEAR)
 SCHEDULED = ("mon", "tue", "wed", "thu", "fri", "sat")
 
@@ -99,11 +99,11 @@ def _(c):
 
 @entry("q08_offer_filter_city", f"""WITH {_FRESH} SELECT offer_id, price FROM fresh WHERE offer_id IN (
   SELECT a.offer_id FROM fx_availability a JOIN fx_location l ON a.location_id = l.location_id
-  WHERE a.last_seen_at >= {CUT} AND a.stock_status IN {_OK} AND l.active AND lower(l.city) = 'france')""",
+  WHERE a.last_seen_at >= {CUT} AND a.stock_status IN {_OK} AND l.active AND lower(l.city) = 'nation_3')""",
        "fx_offer", "fx_store", "fx_availability")
 def _(c):
     fresh = q.fresh_offers(c.offer, c.store, AS_OF, MAX_AGE)
-    return q.offer_filter(fresh, c.availability, c.location, AS_OF, MAX_AGE, city=" France ").select("offer_id", "price")
+    return q.offer_filter(fresh, c.availability, c.location, AS_OF, MAX_AGE, city=CITY).select("offer_id", "price")
 
 
 @entry("q09_nearest_branch", f"""WITH {_NEARBY}, {_SCOPE} SELECT offer_id, location_id AS nearest_location_id,

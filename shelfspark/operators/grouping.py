@@ -43,7 +43,8 @@ def lag_by_key(
     segment takes the last row of the segment before it.
     """
     keys, tie, values = list(keys), list(tie), list(values)
-    hot = hot_keys(df, keys, hot_limit).withColumn("_hot", F.lit(True))
+    # At most rows/hot_limit keys, so the side stays small however large the data is.
+    hot = F.broadcast(hot_keys(df, keys, hot_limit).withColumn("_hot", F.lit(True)))
     second = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (segment_seconds * 1_000_000))
     rows = (
         df.join(hot, keys, "left")

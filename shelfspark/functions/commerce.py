@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfspark import rules
-from shelfspark.functions.text import any_of, blank_to_null, category_text, col
+from shelfspark.functions.text import any_of, blank_to_null, category_text, col, let
 
 MONEY = "decimal(14,2)"
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
@@ -26,12 +26,16 @@ def parse_money(value, style: str = "json") -> Column:
     if style == "jsonld":
         return _to_money(F.replace(F.regexp_replace(text, "[^0-9,.-]", ""), F.lit(","), F.lit(".")))
     amount = F.coalesce(blank_to_null(F.regexp_extract(text, _AMOUNT, 1)), text)
-    digits = F.regexp_replace(amount, "[^0-9,.-]", "")
+    return let(F.regexp_replace(amount, "[^0-9,.-]", ""), _html_amount)
+
+
+def _html_amount(digits: Column) -> Column:
+    """A label printed twice counts once; one lone comma is the decimal mark."""
     half = F.substr(digits, F.lit(1), (F.length(digits) / 2).cast("int"))
     once = F.when(digits.rlike("^[0-9]+$") & (F.concat(half, half) == digits), half).otherwise(digits)
-    single_comma = (F.length(F.regexp_replace(once, "[^,]", "")) == 1) & ~once.contains(".")
-    return _to_money(F.when(single_comma, F.replace(once, F.lit(","), F.lit(".")))
-                     .otherwise(F.replace(once, F.lit(","), F.lit(""))))
+    return let(once, lambda d: _to_money(
+        F.when((F.length(F.regexp_replace(d, "[^,]", "")) == 1) & ~d.contains("."), F.replace(d, F.lit(","), F.lit(".")))
+        .otherwise(F.replace(d, F.lit(","), F.lit("")))))
 
 
 def parse_int(value) -> Column:
@@ -149,16 +153,23 @@ def _votes(text: Column, category_rules) -> Column:
 def map_category(path, title, is_breadcrumb, category_rules=rules.CATEGORY_RULES) -> Column:
     """Category slug and confidence from breadcrumb, title, or url path, in that order of trust."""
     breadcrumb = is_breadcrumb if isinstance(is_breadcrumb, Column) else F.lit(bool(is_breadcrumb))
-    path_text = category_text(F.array_join(col(path), " "))
-    by_path = _votes(path_text, category_rules)
-    by_title = _votes(category_text(F.coalesce(col(title), F.lit(""))), category_rules)
-    leaf = category_text(F.try_element_at(col(path), F.lit(-1)))
+    texts = F.struct(
+        category_text(F.array_join(col(path), " ")).alias("path"),
+        category_text(F.coalesce(col(title), F.lit(""))).alias("title"),
+        category_text(F.try_element_at(col(path), F.lit(-1))).alias("leaf"), breadcrumb.alias("breadcrumb"))
+    return let(texts, lambda t: let(
+        F.struct(_votes(t["path"], category_rules).alias("path"), _votes(t["title"], category_rules).alias("title")),
+        lambda votes: _decide(t, votes)))
+
+
+def _decide(texts: Column, votes: Column) -> Column:
+    by_path, by_title, breadcrumb = votes["path"], votes["title"], texts["breadcrumb"]
 
     def result(slug, confidence):
         return F.struct(slug.alias("slug"), F.round(confidence, 2).alias("confidence"))
 
     terminal = [
-        F.when(leaf.isin(*leaves), result(F.lit(slug), F.lit(rules.TERMINAL_CONFIDENCE)))
+        F.when(texts["leaf"].isin(*leaves), result(F.lit(slug), F.lit(rules.TERMINAL_CONFIDENCE)))
         for slug, leaves in rules.TERMINAL_CATEGORIES.items()
     ]
     return F.coalesce(

@@ -25,6 +25,11 @@ def any_of(text: Column, tokens) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(token) for token in tokens))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``; for values costly to repeat."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(value) -> Column:
     return F.nullif(col(value), F.lit(""))
 

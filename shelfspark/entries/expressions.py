@@ -63,9 +63,9 @@ def _(c):
 
 @entry("fn07_pick", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE regexp_extract(props, '\"k\": *([0-9]+)', 1) END AS picked FROM events")
 def _(c):
-    from shelfspark.sources.feeds import pick_text
+    from shelfspark.sources.feeds import fields_of, pick_text
     body = F.when(F.col("event_id") % 3 == 0, '{"k": null, "n": ""}').otherwise(F.col("props"))
-    return c.table("events").select("event_id", pick_text(F.parse_json(body), "n", "k").alias("picked"))
+    return c.table("events").select("event_id", pick_text(fields_of(F.parse_json(body)), "n", "k").alias("picked"))
 
 
 @entry("fn08_parse_money", """SELECT p_partkey, CAST(p_retailprice AS DECIMAL(14,2)) AS json_price, CAST(p_retailprice AS DECIMAL(14,2)) AS jsonld_price,

@@ -31,7 +31,7 @@ def let(value: Column, body) -> Column:
 
 
 def blank_to_null(value) -> Column:
-    return F.nullif(col(value), F.lit(""))
+    return F.when(col(value) != "", col(value))
 
 
 def strip(value) -> Column:

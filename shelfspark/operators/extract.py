@@ -15,7 +15,7 @@ from shelfspark.functions.text import (
     any_of, blank_to_null, category_path_from_url, city_alias, clean_address, item_url, resolve_url, strip, url_key)
 from shelfspark.operators.grouping import top_per_group
 from shelfspark.sources.feeds import (
-    PRICE_KEYS, PRICE_PARTS, TITLE_KEYS, at, kind_of, pick, pick_text, text_at, text_of, unwrap)
+    PRICE_KEYS, PRICE_PARTS, TITLE_KEYS, at, fields_of, items_of, pick, pick_text, scalar_type, text_at, text_of, unwrap)
 from shelfspark.session import cut_lineage
 
 
@@ -26,16 +26,15 @@ def _path_of(category: Column) -> Column:
 
 def _whole(value: Column) -> Column:
     """Integer of a variant: numbers are cut, truth values are 1 and 0, text must be whole digits."""
-    kind, text = kind_of(value), text_of(value)
     number = F.try_variant_get(value, "$", "double")
-    return (F.when(kind == "STRING", F.when(~text.isin("true", "false"), c.parse_int(text)))
-            .when(kind == "BOOLEAN", c.parse_int(text))
-            .when(~kind.isin("OBJECT", "ARRAY"), F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).try_cast("int")))
+    cut = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).try_cast("int")
+    return F.when(scalar_type(value) == "STRING", F.when(text_of(value).rlike(r"^\s*[+-]?\d+\s*$"), c.parse_int(text_of(value)))).otherwise(
+        F.coalesce(cut, c.parse_int(text_of(value))))
 
 
 def products_from_json(objects: DataFrame, keys: Sequence[str], base_url="base_url", page_url="page_url") -> DataFrame:
-    """Product-like objects (``node`` VARIANT) to observations; rows without title or price fall out."""
-    n = "node"
+    """Product-like objects (``fields`` of walk_json) to observations; rows without title or price fall out."""
+    n = "fields"
     # First the members, then what is derived from them: each member is looked up once per row.
     rows = objects.select(
         *keys, *[x for x in ("path",) if x in objects.columns], F.col(base_url).alias("_base"), F.col(page_url).alias("_page"),
@@ -57,18 +56,19 @@ def products_from_json(objects: DataFrame, keys: Sequence[str], base_url="base_u
         "price": c.parse_money(unwrap(F.col("_price"), *PRICE_PARTS)),
         "old_price": c.parse_money(unwrap(F.col("_old"), "value", "amount", "old", "price")),
         "brand": blank_to_null(strip(unwrap(F.col("_brand"), "name", "title"))),
-        "_image": F.when(kind_of(image) == "ARRAY", F.try_variant_get(image, "$[0]", "variant")).otherwise(image),
+        "_image": F.when(items_of(image).isNotNull(), F.try_variant_get(image, "$[0]", "variant")).otherwise(image),
         "quantity": _whole(F.col("_quantity")),
         "stock_status": c.stock_from_text(unwrap(F.col("_stock"), "status", "value", "available", "inStock", "in_stock"), "json"),
         "_category": unwrap(F.col("_category"), "name", "title"),
-        "currency": F.upper(F.coalesce("_currency", F.when(kind_of(box) == "OBJECT", pick_text(box, "currency", "currencyCode", "priceCurrency")), F.lit("MDL"))),
+        "currency": F.upper(F.coalesce("_currency", pick_text(fields_of(box), "currency", "currencyCode", "priceCurrency"), F.lit("MDL"))),
     }).filter(blank_to_null("title").isNotNull() & F.col("price").isNotNull())
     rows = rows.withColumn("url", item_url("_base", "_link", "_ident", "_page"))
     counted = F.coalesce(c.stock_from_quantity("quantity"), F.col("stock_status"))
+    rows = rows.withColumn("_image_ref", unwrap(F.col("_image"), "url", "src", "path"))
     return rows.withColumns({
         "category_path": _path_of(F.col("_category")),
         "external_id": F.coalesce("_id", F.right("url", F.lit(160))),
-        "image_url": resolve_url("_base", unwrap(F.col("_image"), "url", "src", "path")),
+        "image_url": resolve_url("_base", "_image_ref"),
         "stock_status": F.when(F.col("stock_status") == "UNKNOWN", counted).otherwise(F.col("stock_status")),
         "source": F.lit("generic-json-api"),
     }).drop(*[x for x in rows.columns if x.startswith("_")])
@@ -110,9 +110,8 @@ _LD_SCRIPT = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[
 
 
 def _is_product(node: Column) -> Column:
-    kind = at(node, "@type")
     listed = F.array_contains(F.try_variant_get(node, "$['@type']", "array<string>"), "Product")
-    return F.coalesce(F.when(kind_of(kind) == "ARRAY", listed).otherwise(text_of(kind) == "Product"), F.lit(False))
+    return F.coalesce(listed, text_at(node, "@type") == "Product", F.lit(False))
 
 
 def jsonld_nodes(pages: DataFrame, keys: Sequence[str], html: str = "html") -> DataFrame:
@@ -122,7 +121,6 @@ def jsonld_nodes(pages: DataFrame, keys: Sequence[str], html: str = "html") -> D
     is looked at first, so positions are ranked backwards.
     """
     keys = list(keys)
-    tvf = pages.sparkSession.tvf
     scripts = pages.select(*keys, F.posexplode(F.regexp_extract_all(html, F.lit(_LD_SCRIPT), F.lit(1))).alias("script", "text"))
     node = scripts.select(*keys, "script", F.try_parse_json("text").alias("node"))
     # Scripts are a small part of the pages; the walk reads this cut, not the pages again.
@@ -130,15 +128,12 @@ def jsonld_nodes(pages: DataFrame, keys: Sequence[str], html: str = "html") -> D
     level = level.drop("script")
     found = None
     while True:
-        tagged = level.withColumn("_kind", kind_of("node")).withColumn("_hit", (F.col("_kind") == "OBJECT") & _is_product(F.col("node")))
+        tagged = level.withColumn("_hit", fields_of("node").isNotNull() & _is_product(F.col("node")))
         hits = tagged.filter("_hit").select(*keys, "node", "order")
         found = hits if found is None else found.unionByName(hits)
-        graph = at("node", "@graph")
-        inner = (F.when(F.col("_kind") == "ARRAY", F.col("node"))
-                 .when((F.col("_kind") == "OBJECT") & (kind_of(graph) == "ARRAY"), graph))
-        open_nodes = tagged.filter(~F.col("_hit")).withColumn("_inner", inner).filter(F.col("_inner").isNotNull())
-        level = (open_nodes.lateralJoin(tvf.variant_explode(F.col("_inner").outer()))
-                 .select(*keys, F.col("value").alias("node"), F.concat("order", F.array(-F.col("pos"))).alias("order")))
+        inner = F.coalesce(items_of("node"), items_of(at("node", "@graph")))
+        level = (tagged.filter(~F.col("_hit")).select(*keys, "order", F.posexplode(inner).alias("pos", "node"))
+                 .select(*keys, "node", F.concat("order", F.array(-F.col("pos"))).alias("order")))
         if level.isEmpty():
             break
     return top_per_group(found, keys, [F.col("order")])
@@ -147,19 +142,19 @@ def jsonld_nodes(pages: DataFrame, keys: Sequence[str], html: str = "html") -> D
 def products_from_jsonld(pages: DataFrame, keys: Sequence[str], url: str = "url", html: str = "html") -> DataFrame:
     node = jsonld_nodes(pages, [*keys, url], html)
     offers = at("node", "offers")
-    offer = F.when(kind_of(offers) == "ARRAY", F.try_variant_get(offers, "$[0]", "variant")).otherwise(offers)
+    offer = F.when(items_of(offers).isNotNull(), F.try_variant_get(offers, "$[0]", "variant")).otherwise(offers)
 
     def truthy(box, *names):
-        return F.coalesce(*[F.when(~((text_at(box, n) == "0") & (kind_of(at(box, n)) != "STRING")) & (text_at(box, n) != "false"), text_at(box, n)) for n in names])
+        return F.coalesce(*[F.when(~((text_at(box, n) == "0") & (scalar_type(at(box, n)) != "STRING")) & (text_at(box, n) != "false"), text_at(box, n)) for n in names])
 
     image = at("node", "image")
     rows = node.withColumn("_offer", offer).select(
         *keys, F.col(url).alias("url"),
         strip(text_at("node", "name")).alias("title"), c.parse_money(truthy("_offer", "price", "lowPrice"), "jsonld").alias("price"),
         c.stock_from_text(text_at("_offer", "availability"), "jsonld").alias("stock_status"),
-        blank_to_null(strip(F.when(kind_of(at("node", "brand")) == "OBJECT", text_at(at("node", "brand"), "name")).otherwise(text_at("node", "brand")))).alias("brand"),
-        F.when(kind_of(image) == "ARRAY", blank_to_null(F.try_variant_get(image, "$[0]", "string")))
-        .when(kind_of(image) == "OBJECT", pick_text(image, "url", "contentUrl")).otherwise(text_of(image)).alias("image_url"),
+        blank_to_null(strip(unwrap(at("node", "brand"), "name"))).alias("brand"),
+        F.when(items_of(image).isNotNull(), blank_to_null(F.try_variant_get(image, "$[0]", "string")))
+        .otherwise(unwrap(image, "url", "contentUrl")).alias("image_url"),
         truthy("node", "sku").alias("sku"), truthy("node", "gtin13", "gtin14", "gtin12", "gtin").alias("ean"), truthy("node", "mpn").alias("mpn"),
         _path_of(text_at("node", "category")).alias("category_path"), html_text(text_at("node", "description")).alias("description"),
         F.upper(F.coalesce(text_at("_offer", "priceCurrency"), F.lit("MDL"))).alias("currency"), F.lit("json-ld").alias("source"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.text import blank_to_null, col, url_part
 from shelfspark.operators.grouping import top_per_group
-from shelfspark.sources.feeds import kind_of, looks_like_product, walk_json
+from shelfspark.sources.feeds import fields_of, looks_like_product, walk_json
 
 LEAST_SCORE = 4.0
 ID_KEYS = ("id", "sku", "code", "ean", "gtin", "productId", "product_id")
@@ -85,16 +85,13 @@ def json_shapes(responses: DataFrame, key: str = "page_id", per_page: int = 5) -
     objects = walk_json(docs, [key, "response"], "_doc")
 
     def has_any(names):
-        test = F.lit(False)
-        for n in names:
-            test = test | F.try_variant_get("node", f"$['{n}']", "variant").isNotNull()
-        return test
+        return F.arrays_overlap(F.map_keys("fields"), F.array(*map(F.lit, names)))
 
     counts = objects.groupBy(key, "response").agg(
         F.count("*").alias("object_count"), F.count_if(looks_like_product()).alias("product_like_count"),
         F.count_if(has_any(ID_KEYS)).alias("id_like_count"), F.count_if(has_any(STOCK_KEYS)).alias("stock_like_count"))
-    root_keys = F.slice(F.array_sort(F.map_keys(F.try_variant_get("_doc", "$", "map<string,variant>"))), 1, 20)
-    is_object = kind_of("_doc") == "OBJECT"
+    root_keys = F.slice(F.array_sort(F.map_keys(fields_of("_doc"))), 1, 20)
+    is_object = fields_of("_doc").isNotNull()
     shaped = docs.select(
         key, "response", F.left(url_part("response_url", "path"), F.lit(200)).alias("path"),
         F.when(is_object, "object").otherwise("array").alias("root_type"),

@@ -22,68 +22,79 @@ PRICE_PARTS = ("value", "amount", "current", "price")
 
 # -- variants ---------------------------------------------------------------
 
-def _path(name: str) -> str:
-    return f"$['{name}']"
+def at(node, name: str) -> Column:
+    return F.try_variant_get(col(node), f"$['{name}']", "variant")
 
 
-def at(node, name: str) -> Column:
-    return F.try_variant_get(col(node), _path(name), "variant")
+def text_of(node: Column) -> Column:
+    """Text of a value; nested values give their JSON text, null and '' give null."""
+    return blank_to_null(F.try_variant_get(node, "$", "string"))
 
 
 def text_at(node, name: str) -> Column:
-    """Text of a member; nested members give their JSON text, null and '' give null."""
-    return blank_to_null(F.try_variant_get(col(node), _path(name), "string"))
+    return blank_to_null(F.try_variant_get(col(node), f"$['{name}']", "string"))
 
 
-def pick(node, *names: str) -> Column:
-    """First member that is neither null nor ''; 0 and false count as values."""
-    return F.coalesce(*[F.when(text_at(node, n).isNotNull(), at(node, n)) for n in names])
+def fields_of(node) -> Column:
+    """Members of an object as MAP<STRING, VARIANT>; null for anything else."""
+    return F.try_variant_get(col(node), "$", "map<string,variant>")
 
 
-def pick_text(node, *names: str) -> Column:
-    return F.coalesce(*[text_at(node, n) for n in names])
+def items_of(node) -> Column:
+    """Elements of a list as ARRAY<VARIANT>; null for anything else."""
+    return F.try_variant_get(col(node), "$", "array<variant>")
 
 
-def text_of(node: Column) -> Column:
-    return blank_to_null(F.try_variant_get(node, "$", "string"))
+def scalar_type(node) -> Column:
+    """STRING, BOOLEAN or a number type; meant for values known not to be nested."""
+    return F.substring_index(F.schema_of_variant(col(node)), "(", 1)
+
+
+def pick(fields, *names: str) -> Column:
+    """First named member that is neither null nor ''; 0 and false count as values."""
+    found = F.transform(F.array(*map(F.lit, names)), lambda n: F.try_element_at(col(fields), n))
+    return F.try_element_at(F.filter(found, lambda v: text_of(v).isNotNull()), F.lit(1))
 
 
-def kind_of(node) -> Column:
-    """OBJECT, ARRAY, STRING, BOOLEAN or a number type."""
-    return F.substring_index(F.substring_index(F.schema_of_variant(col(node)), "<", 1), "(", 1)
+def pick_text(fields, *names: str) -> Column:
+    return text_of(pick(fields, *names))
 
 
-def unwrap(node: Column, *names: str) -> Column:
-    """Text of a scalar member, or of the named part of an object member."""
-    return F.when(kind_of(node) == "OBJECT", pick_text(node, *names)).otherwise(text_of(node))
+def unwrap(value: Column, *names: str) -> Column:
+    """Text of a scalar, or of the first named part of an object."""
+    parts = fields_of(value)
+    return F.when(parts.isNotNull(), pick_text(parts, *names)).otherwise(text_of(value))
 
 
 def walk_json(df: DataFrame, keys: Sequence[str], node: str) -> DataFrame:
-    """Every object at any depth with its position path (pre-order sort key).
+    """Every object at any depth: keys, node, fields, and its position path (pre-order sort key).
 
-    Levels are unfolded until none has children; the only driver-side fact is
-    "are there more", never data.
+    One pass over the documents: each round replaces an unopened value by itself
+    and its nested children.  Rounds stop when nothing is left to open; the only
+    fact that reaches the driver is "is there more".
     """
     keys = list(keys)
-    tvf = df.sparkSession.tvf
-    level = df.select(*keys, F.col(node).alias("node"), F.array().cast("array<int>").alias("path"))
-    level = level.filter(F.col("node").isNotNull() & kind_of("node").isin("OBJECT", "ARRAY"))
-    found = None
+    rows = df.select(*keys, F.col(node).alias("node"), F.array().cast("array<int>").alias("path"), F.lit(True).alias("open"))
+    rows = rows.filter(fields_of("node").isNotNull() | items_of("node").isNotNull())
+
+    def cell(value, path, is_open):
+        return F.struct(value.alias("node"), path.alias("path"), F.lit(is_open).alias("open"))
+
+    path = F.col("path")
+    own = F.array(cell(F.col("node"), path, False))
+    values = F.coalesce(items_of("node"), F.map_values(fields_of("node")))
+    children = F.filter(
+        F.transform(values, lambda v, i: cell(v, F.concat(path, F.array(i)), True)),
+        lambda c: fields_of(c["node"]).isNotNull() | items_of(c["node"]).isNotNull())
     while True:
-        objects = level.filter(kind_of("node") == "OBJECT")
-        found = objects if found is None else found.unionByName(objects)
-        members = tvf.variant_explode(F.col("node").outer())
-        level = (level.lateralJoin(members)
-                 .select(*keys, F.col("value").alias("node"), F.concat("path", F.array("pos")).alias("path"))
-                 .filter(kind_of("node").isin("OBJECT", "ARRAY")))
-        if level.isEmpty():
-            return found
+        rows = rows.select(*keys, F.explode(F.when(F.col("open"), F.concat(own, children)).otherwise(own)).alias("c")).select(*keys, "c.*")
+        if rows.filter("open").isEmpty():
+            break
+    return rows.select(*keys, "node", "path", fields_of("node").alias("fields")).filter(F.col("fields").isNotNull())
 
 
-def looks_like_product(node="node") -> Column:
-    price = pick(node, *PRICE_KEYS)
-    inner = F.when(kind_of(price) == "OBJECT", pick_text(price, *PRICE_PARTS)).otherwise(text_of(price))
-    return pick_text(node, *TITLE_KEYS).isNotNull() & inner.isNotNull()
+def looks_like_product(fields="fields") -> Column:
+    return pick(fields, *TITLE_KEYS).isNotNull() & unwrap(pick(fields, *PRICE_KEYS), *PRICE_PARTS).isNotNull()
 
 
 def explode_json_objects(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -170,7 +181,7 @@ def read_feed(df: DataFrame, keys: Sequence[str], body: str = "body", content_ty
     kind = df.withColumn("_kind", feed_kind(body, content_type))
     docs = kind.filter("_kind = 'json'").select(*keys, F.try_parse_json(body).alias("_doc"))
     as_map = F.map_from_entries(F.transform(
-        F.map_entries(F.try_variant_get("node", "$", "map<string,variant>")),
+        F.map_entries("fields"),
         lambda e: F.struct(e["key"], F.try_variant_get(e["value"], "$", "string").alias("value"))))
     from_json = walk_json(docs, keys, "_doc").select(*keys, "path", as_map.alias("record"))
     flat = lambda rows: rows.select(*keys, F.array("pos").alias("path"), "record")
@@ -224,23 +235,24 @@ _NEXT = ("next", "nextUrl", "next_url", "nextPage", "next_page")
 _NEXT_HOLDERS = ("links", "pagination", "paging", "meta")
 
 
-def next_page(node, current_url) -> Column:
-    """Address of the following page named by a response, resolved against its own."""
-    def string_only(value):
-        return F.when(kind_of(value) == "STRING", blank_to_null(strip(F.try_variant_get(value, "$", "string"))))
+def next_page(fields) -> Column:
+    """Address of the following page as a response names it (it may be relative)."""
+    def link(value: Column) -> Column:
+        return F.when(scalar_type(value) == "STRING", blank_to_null(strip(text_of(value))))
+
+    def held(holder: str) -> Column:
+        value = pick(fields_of(F.try_element_at(col(fields), F.lit(holder))), *_NEXT)
+        parts = fields_of(value)
+        return F.when(parts.isNotNull(), link(pick(parts, "url", "href"))).otherwise(link(value))
 
-    choices = [string_only(pick(node, *_NEXT))]
-    for holder in _NEXT_HOLDERS:
-        box = F.when(kind_of(at(node, holder)) == "OBJECT", at(node, holder))
-        value = pick(box, *_NEXT)
-        choices.append(F.when(kind_of(value) == "OBJECT", string_only(pick(value, "url", "href"))).otherwise(string_only(value)))
-    return resolve_url(current_url, F.coalesce(*choices))
+    return F.coalesce(link(pick(fields, *_NEXT)), *[held(h) for h in _NEXT_HOLDERS])
 
 
 def follow_pages(docs: DataFrame, endpoints: DataFrame, max_pages: int = 25) -> DataFrame:
     """(endpoint, depth, url) of stored response chains; a page is taken once per endpoint."""
     parsed = docs.select("url", F.try_parse_json("body").alias("_doc")).filter(F.col("_doc").isNotNull())
-    follows = cut_lineage(parsed.select("url", F.when(kind_of("_doc") == "OBJECT", next_page("_doc", F.col("url"))).alias("next")))
+    follows = cut_lineage(parsed.select("url", fields_of("_doc").alias("_fields"))
+                          .select("url", next_page("_fields").alias("_next")).select("url", resolve_url("url", "_next").alias("next")))
     # jump leads ``length`` pages on; doubling it covers the whole chain in a few joins.
     jump, length = follows.filter(F.col("next").isNotNull()), 1
     seen = endpoints.select("endpoint", F.lit(1).alias("depth"), F.col("endpoint").alias("url"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -77,17 +78,25 @@ class _Freshness(StatefulProcessor):
         self.last = handle.getValueState("last", _LAST_SEEN)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(r["seen_ms"].max()) for r in rows)
+        times = np.unique(np.concatenate([r["seen_ms"].to_numpy() for r in rows]))
         seen, fresh = self.last.get() if self.last.exists() else (None, False)
-        if seen is None or newest > seen:
-            if seen is not None and fresh:
-                self.handle.deleteTimer(seen + self.max_age_ms)
-            self.handle.registerTimer(newest + self.max_age_ms)
-            self.last.update((newest, True))
+        first, out = seen, []
+        for now in map(int, times):
+            if seen is not None and now <= seen:
+                continue
+            # A gap longer than the window is reported even when both ends arrive together.
+            if fresh and now > seen + self.max_age_ms:
+                out.append((key[0], "STALE", _utc(seen + self.max_age_ms)))
+                fresh = False
             if not fresh:
-                yield pd.DataFrame([(key[0], "FRESH", _utc(newest))], columns=["offer_id", "state", "at"])
-                return
-        yield pd.DataFrame([], columns=["offer_id", "state", "at"])
+                out.append((key[0], "FRESH", _utc(now)))
+            seen, fresh = now, True
+        if seen != first:
+            if first is not None:
+                self.handle.deleteTimer(first + self.max_age_ms)
+            self.handle.registerTimer(seen + self.max_age_ms)
+            self.last.update((seen, fresh))
+        yield pd.DataFrame(out, columns=["offer_id", "state", "at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()

@@ -12,6 +12,7 @@ from shelfspark.entries.importing import _text
 from shelfspark.functions.text import url_part
 from shelfspark.operators import extract, links, network
 from shelfspark.plans.views import Catalogue, with_views
+from shelfspark.session import spread
 from shelfspark.sources import feeds
 
 QUERIES, SQL = {}, {}
@@ -28,7 +29,7 @@ def entry(name, sql, *views):
 
 
 def _part(c):
-    return c.table("part").withColumn("price", F.col("p_retailprice").cast("decimal(14,2)"))
+    return spread(c.table("part")).withColumn("price", F.col("p_retailprice").cast("decimal(14,2)"))
 
 
 def _item():
@@ -110,14 +111,16 @@ def _(c):
 
 @entry("src8_explode_sitemaps", "SELECT DISTINCT url FROM pages")
 def _(c):
-    host = url_part("url", "netloc")
-    rows = c.table("pages").select(host.alias("host"), (F.col("page_id") % 8).alias("part"), "url")
+    # Sitemap files are cut at a thousand pages and index files at a thousand sitemaps, so no document grows with a host.
+    host, file_no = url_part("url", "netloc"), F.floor(F.col("page_id") / 1000)
+    rows = c.table("pages").select(host.alias("host"), file_no.alias("part"), "url")
     name = _text("https://", F.col("host"), "/map-", F.col("part"), ".xml")
     loc = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
     ns = ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
-    leaves = rows.groupBy(name.alias("url"), "host").agg(F.concat(F.lit("<urlset" + ns), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("body"))
+    leaves = rows.groupBy(name.alias("url"), "host", "part").agg(
+        F.concat(F.lit("<urlset" + ns), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("body"))
     child = F.concat(F.lit("<sitemap><loc>"), F.col("url"), F.lit("</loc></sitemap>"))
-    index = leaves.groupBy(_text("https://", F.col("host"), "/sitemap.xml").alias("url")).agg(
+    index = leaves.groupBy(_text("https://", F.col("host"), "/sitemap-", F.floor(F.col("part") / 1000), ".xml").alias("url")).agg(
         F.concat(F.lit("<sitemapindex" + ns), F.array_join(F.collect_list(child), ""), F.lit("</sitemapindex>")).alias("body"))
     return feeds.explode_sitemaps(leaves.select("url", "body").unionByName(index), index.select("url"))
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 from urllib.parse import urljoin
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,15 +43,15 @@ def squeeze(value) -> Column:
     return strip(F.regexp_replace(col(value), rf"{SPACE}+", " "))
 
 
-# Unicode normal forms are not built into Spark; Arrow computes them column-wise.
-@F.arrow_udf(T.StringType())
-def _nfkc(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, form="NFKC")
+# Unicode normal forms are not built into Spark, and Arrow's own kernel does not compose.
+def _normal_form(form: str):
+    @F.arrow_udf(T.StringType())
+    def convert(values: pa.Array) -> pa.Array:
+        return pa.array([v if v is None or v.isascii() else unicodedata.normalize(form, v) for v in values.to_pylist()], pa.string())
+    return convert
 
 
-@F.arrow_udf(T.StringType())
-def _nfkd(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, form="NFKD")
+_nfkc, _nfkd = _normal_form("NFKC"), _normal_form("NFKD")
 
 
 def normalize_text(value) -> Column:

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators.grouping import top_per_group
-from shelfspark.session import tune
+from shelfspark.session import spread, tune
+
+
+# Tables whose long texts are parsed or normalised right after the scan.
+_HEAVY = ("documents", "pages")
 
 
 class Catalogue:
@@ -16,7 +20,8 @@ class Catalogue:
         self.spark, self.folder = tune(spark), folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(scan) if name in _HEAVY else scan
 
     @property
     def store(self) -> DataFrame:

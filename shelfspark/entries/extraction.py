@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfspark import rules
 from shelfspark.entries.importing import _text
 from shelfspark.functions.text import url_part
 from shelfspark.operators import extract, links, network
@@ -289,9 +290,17 @@ def _(c):
 _LINKS_SQL = f"""a AS (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)"""
 
 
-@entry("ext13_extract_links", None)
+def _any_sql(column, tokens):
+    return "(" + " OR ".join(f"contains({column}, '{t}')" for t in tokens) + ")"
+
+
+@entry("ext13_extract_links", f"""WITH a AS (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS tag FROM pages),
+  b AS (SELECT page_id, regexp_extract(tag, 'href="([^"]*)"', 1) AS href, lower(regexp_extract(tag, '>([^<]*)<', 1)) AS label, regexp_extract(page_url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM a)
+  SELECT page_id, href, origin || href AS url, CASE WHEN contains(lower(href), 'novosti') OR {_any_sql('lower(href)', rules.SKIP_TOKENS)} THEN 'skip'
+    WHEN {_any_sql('lower(href)', rules.PRODUCT_PATH_TOKENS)} THEN 'product'
+    WHEN {_any_sql('lower(href)', rules.LISTING_PATH_TOKENS)} OR {_any_sql('label', rules.LISTING_TEXT_TOKENS)} THEN 'listing' ELSE 'skip' END AS kind FROM b""")
 def _(c):
-    return links.extract_links(c.table("pages"), ["page_id"]).select("page_id", "pos", "href", "url", "kind", "catalog_entry")
+    return links.extract_links(c.table("pages"), ["page_id"]).select("page_id", "href", "url", "kind")
 
 
 @entry("ext13_anchor_hrefs", f"WITH {_LINKS_SQL} SELECT page_id, href FROM a")

@@ -140,8 +140,7 @@ def category_path_from_url(url, ignored=rules.IGNORED_PATH_PARTS) -> Column:
 
 
 def is_service(title, patterns=rules.SERVICE_PATTERNS) -> Column:
-    text = normalize_text(title)
-    return reduce(lambda a, b: a | b, (text.rlike("(?iU)" + p) for p in patterns))
+    return normalize_text(title).rlike("(?iU)(?:" + "|".join(patterns) + ")")
 
 
 def localized_name(ro, ru, locale: str) -> Column:

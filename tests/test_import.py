@@ -83,8 +83,8 @@ def test_unchanged_price_adds_no_history(spark, stores, tmp_path):
 def test_stream_equals_batch(spark, stores, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    for i, one in enumerate(LINES):
-        write(folder / f"{i}.json", [one])
+    for i, part in enumerate((LINES[:1], LINES[1:])):
+        write(folder / f"{i}.json", part)
     streamed = Importer(spark, str(tmp_path / "sdb"), stores)
     query = ingest_stream(spark, str(folder), streamed, str(tmp_path / "ck"), files_per_batch=1, available_now=True)
     query.awaitTermination(300)
@@ -101,3 +101,15 @@ def test_observations_round_trip(spark, tmp_path):
     back = read_observations(spark, str(tmp_path / "out"))
     cols = ["external_id", "price", "quantity", "seen_at", F.to_json("attributes").alias("attributes")]
     assert sorted(map(str, rows.select(*cols).collect())) == sorted(map(str, back.select(*cols).collect()))
+
+
+def test_registry_locations_and_reports(spark, tmp_path):
+    from shelfspark.sources.observations import read_locations, read_registry, write_reports
+
+    (tmp_path / "reg.json").write_text(json.dumps([{"slug": "a", "status": "PARTIAL", "categories": ["x"]}, {"slug": "b", "status": "VERIFIED"}]))
+    assert [r.slug for r in read_registry(spark, str(tmp_path / "reg.json")).orderBy("idx").collect()] == ["a", "b"]
+    (tmp_path / "loc.json").write_text(json.dumps([{"store_slug": "a", "external_id": "1", "name": "n", "city": "c", "opening_hours": HOURS}]))
+    assert read_locations(spark, str(tmp_path / "loc.json")).first().opening_hours.weekly["mon"][0].open == "09:00"
+    report = spark.createDataFrame([("a", "OK", 3), ("b", "PARTIAL", 1)], "store_slug STRING, outcome STRING, n INT")
+    write_reports(report.select("store_slug", F.struct("outcome", "n").alias("coverage")), str(tmp_path / "reports"))
+    assert {p.name for p in (tmp_path / "reports").iterdir() if p.is_dir()} == {"store_slug=a", "store_slug=b"}

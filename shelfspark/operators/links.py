@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 from urllib.robotparser import RobotFileParser
 
 import pyarrow as pa
@@ -205,7 +206,7 @@ def _robots_rules(text):
     for i, group in groups:
         for agent in group.useragents:
             out.append({"entry": i, "agent": agent.lower(), "seq": -1, "allow": True, "path": None})
-            out += [{"entry": i, "agent": agent.lower(), "seq": n, "allow": rule.allowance, "path": rule.path} for n, rule in enumerate(group.rulelines)]
+            out += [{"entry": i, "agent": agent.lower(), "seq": n, "allow": rule.allowance, "path": unquote(rule.path)} for n, rule in enumerate(group.rulelines)]
     return out
 
 
@@ -238,7 +239,9 @@ def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str = "OfferBot")
     policy = robots.select("site", "origin", "status").join(rules_of, "site", "left")
     rows = urls.join(policy, "site", "left")
     query = url_part("url", "query")
-    path = F.concat(F.coalesce(F.nullif(url_part("url", "path"), F.lit("")), F.lit("/")), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    raw = F.concat(F.coalesce(F.nullif(url_part("url", "path"), F.lit("")), F.lit("/")), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    # Both sides are compared unescaped, so %20 and non-ASCII letters meet whichever way they are written.
+    path = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
     hit = F.try_element_at(F.filter("_rules", lambda r: (r["path"] == "*") | F.startswith(path, r["path"])), F.lit(1))
     inside = url_part("url", "scheme").isin("http", "https") & same_origin("url", "origin")
     by_rule = F.coalesce(hit["allow"], F.lit(True))

@@ -97,8 +97,9 @@ def test_seed_pages(spark):
 
 def test_robots_match_the_standard_parser(spark):
     texts = ["User-agent: *\nDisallow: /\n", "User-agent: offerbot\nDisallow: /account\nDisallow: /checkout\n", "User-agent: *\nAllow: /a/b\nDisallow: /a\nDisallow:\n",
-             "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /private\n", "", "User-agent: offerbot\n\nDisallow: /x\nUser-agent: *\nDisallow: /y"]
-    paths = ["/", "/account/orders", "/catalog/phones", "/a/b/c", "/a/c", "/private/feed", "/x", "/y?z=1"]
+             "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /private\n", "", "User-agent: offerbot\n\nDisallow: /x\nUser-agent: *\nDisallow: /y",
+             "User-agent: *\nDisallow: /каталог\nDisallow: /a%20b\nAllow: /\n"]
+    paths = ["/", "/account/orders", "/catalog/phones", "/a/b/c", "/a/c", "/private/feed", "/x", "/y?z=1", "/каталог/1", "/%D0%BA%D0%B0%D1%82%D0%B0%D0%BB%D0%BE%D0%B3", "/a b", "/a%20b/c", "/a+b"]
     robots = spark.createDataFrame([(str(i), f"https://s{i}.example", "AVAILABLE", t) for i, t in enumerate(texts)], "site STRING, origin STRING, status STRING, body STRING")
     urls = spark.createDataFrame([(str(i), f"https://s{i}.example{p}") for i in range(len(texts)) for p in paths], "site STRING, url STRING")
     for row in links.robots_allowed(urls, robots).collect():

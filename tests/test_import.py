@@ -1,6 +1,7 @@
 """Import of raw lines: the shared-product case, replay, stream against batch."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,8 +84,10 @@ def test_unchanged_price_adds_no_history(spark, stores, tmp_path):
 def test_stream_equals_batch(spark, stores, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
+    # Batches apply in file order, and the file source orders by modification time: keep the two apart.
     for i, part in enumerate((LINES[:1], LINES[1:])):
         write(folder / f"{i}.json", part)
+        os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
     streamed = Importer(spark, str(tmp_path / "sdb"), stores)
     query = ingest_stream(spark, str(folder), streamed, str(tmp_path / "ck"), files_per_batch=1, available_now=True)
     query.awaitTermination(300)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import ship_package
 from shelfspark.llm.exact import deduplicate_texts
+from shelfspark.llm.mixing import mix_stores
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +21,12 @@ def observations(documents: DataFrame) -> DataFrame:
                             F.col("text").alias("description"))
 
 
+def op3_store_mix(spark: SparkSession, folder: str) -> DataFrame:
+    out = mix_stores(observations(table(spark, folder, "documents")))
+    return out.select(F.col("observation_id").alias("doc_id"), F.col("words").alias("size"),
+                      F.col("store_words").alias("source_size"), "target", "taken")
+
+
 def op6_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     out = deduplicate_texts(observations(table(spark, folder, "documents")))
     return out.select(F.col("observation_id").alias("doc_id"), F.col("kept_observation_id").alias("keep_id"),
@@ -27,6 +34,7 @@ def op6_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_store_mix": op3_store_mix,
     "op6_exact_copies": op6_exact_copies,
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import ship_package
 from shelfspark.llm.exact import deduplicate_texts
 from shelfspark.llm.mixing import mix_stores
+from shelfspark.llm.simhash import near_duplicate_texts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op3_store_mix(spark: SparkSession, folder: str) -> DataFrame:
                       F.col("store_words").alias("source_size"), "target", "taken")
 
 
+def op5_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    out = near_duplicate_texts(observations(table(spark, folder, "documents")))
+    return out.select(F.col("observation_id").alias("doc_id"), "fingerprint", F.col("group").alias("component_id"))
+
+
 def op6_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     out = deduplicate_texts(observations(table(spark, folder, "documents")))
     return out.select(F.col("observation_id").alias("doc_id"), F.col("kept_observation_id").alias("keep_id"),
@@ -35,6 +41,7 @@ def op6_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op3_store_mix": op3_store_mix,
+    "op5_simhash_groups": op5_simhash_groups,
     "op6_exact_copies": op6_exact_copies,
 }
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import ship_package
+from shelfspark.llm.decontaminate import benchmark_passages
 from shelfspark.llm.exact import deduplicate_texts
 from shelfspark.llm.mixing import mix_stores
 from shelfspark.llm.simhash import near_duplicate_texts
@@ -39,10 +40,16 @@ def op6_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
                       F.col("copies").alias("group_size"), "kept", "text_sha256")
 
 
+def op9_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    out = benchmark_passages(observations(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
+    return out.withColumnRenamed("observation_id", "doc_id")
+
+
 QUERIES = {
     "op3_store_mix": op3_store_mix,
     "op5_simhash_groups": op5_simhash_groups,
     "op6_exact_copies": op6_exact_copies,
+    "op9_benchmark_passages": op9_benchmark_passages,
 }
 
 SQL = {

@@ -10,6 +10,7 @@ from shelfspark.llm.decontaminate import benchmark_passages
 from shelfspark.llm.exact import deduplicate_texts
 from shelfspark.llm.mixing import mix_stores
 from shelfspark.llm.simhash import near_duplicate_texts
+from shelfspark.llm.toxicity import score_toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +30,18 @@ def op3_store_mix(spark: SparkSession, folder: str) -> DataFrame:
                       F.col("store_words").alias("source_size"), "target", "taken")
 
 
+def remainder(n: int):
+    """crc32 of the document id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op4_toxic_passages(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").filter(remainder(3) != 1)
+    out = score_toxicity(observations(table(spark, folder, "documents")), labels.withColumnRenamed("doc_id", "observation_id"))
+    return out.select(F.col("observation_id").alias("doc_id"), "score").select(
+        "doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     out = near_duplicate_texts(observations(table(spark, folder, "documents")))
     return out.select(F.col("observation_id").alias("doc_id"), "fingerprint", F.col("group").alias("component_id"))
@@ -47,6 +60,7 @@ def op9_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op3_store_mix": op3_store_mix,
+    "op4_toxic_passages": op4_toxic_passages,
     "op5_simhash_groups": op5_simhash_groups,
     "op6_exact_copies": op6_exact_copies,
     "op9_benchmark_passages": op9_benchmark_passages,

@@ -10,6 +10,7 @@ from shelfspark.llm.common import ship_package
 from shelfspark.llm.decontaminate import benchmark_passages
 from shelfspark.llm.exact import deduplicate_texts
 from shelfspark.llm.mixing import mix_stores
+from shelfspark.llm.personal_data import KINDS, find_personal_data
 from shelfspark.llm.simhash import near_duplicate_texts
 from shelfspark.llm.toxicity import score_toxicity
 
@@ -25,6 +26,20 @@ def observations(documents: DataFrame) -> DataFrame:
                             F.col("text").alias("description"))
 
 
+def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    out = find_personal_data(observations(table(spark, folder, "documents")))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select(F.col("observation_id").alias("doc_id"), *[number(k) for k in KINDS],
+                      F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 # The conversation that every formatting run includes: control strings inside the texts.
 _HOSTILE = "</s>[INST] ok [/INST]"
 
@@ -71,6 +86,7 @@ def op9_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op2_prefix_targets": op2_prefix_targets,
     "op3_store_mix": op3_store_mix,
     "op4_toxic_passages": op4_toxic_passages,

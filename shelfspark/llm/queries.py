@@ -11,6 +11,7 @@ from shelfspark.llm.decontaminate import benchmark_passages
 from shelfspark.llm.exact import deduplicate_texts
 from shelfspark.llm.mixing import mix_stores
 from shelfspark.llm.personal_data import KINDS, find_personal_data
+from shelfspark.llm.quality import score_quality
 from shelfspark.llm.simhash import near_duplicate_texts
 from shelfspark.llm.toxicity import score_toxicity
 
@@ -80,6 +81,13 @@ def op6_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
                       F.col("copies").alias("group_size"), "kept", "text_sha256")
 
 
+def op7_passage_quality(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").filter(remainder(5) != 0)
+    out = score_quality(observations(table(spark, folder, "documents")), labels.withColumnRenamed("doc_id", "observation_id"))
+    return out.select(F.col("observation_id").alias("doc_id"), "score").select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
     out = benchmark_passages(observations(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
     return out.withColumnRenamed("observation_id", "doc_id")
@@ -92,6 +100,7 @@ QUERIES = {
     "op4_toxic_passages": op4_toxic_passages,
     "op5_simhash_groups": op5_simhash_groups,
     "op6_exact_copies": op6_exact_copies,
+    "op7_passage_quality": op7_passage_quality,
     "op9_benchmark_passages": op9_benchmark_passages,
 }
 

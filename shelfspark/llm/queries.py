@@ -12,6 +12,7 @@ from shelfspark.llm.exact import deduplicate_texts
 from shelfspark.llm.mixing import mix_stores
 from shelfspark.llm.personal_data import KINDS, find_personal_data
 from shelfspark.llm.quality import score_quality
+from shelfspark.llm.repeats import remove_repeats
 from shelfspark.llm.simhash import near_duplicate_texts
 from shelfspark.llm.toxicity import score_toxicity
 
@@ -93,6 +94,11 @@ def op9_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumnRenamed("observation_id", "doc_id")
 
 
+def op10_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    out = remove_repeats(observations(table(spark, folder, "documents")))
+    return out.select(F.col("observation_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_prefix_targets": op2_prefix_targets,
@@ -102,6 +108,7 @@ QUERIES = {
     "op6_exact_copies": op6_exact_copies,
     "op7_passage_quality": op7_passage_quality,
     "op9_benchmark_passages": op9_benchmark_passages,
+    "op10_repeated_bytes": op10_repeated_bytes,
 }
 
 SQL = {

@@ -10,6 +10,7 @@ from shelfspark.llm.common import ship_package
 from shelfspark.llm.decontaminate import benchmark_passages
 from shelfspark.llm.exact import deduplicate_texts
 from shelfspark.llm.mixing import mix_stores
+from shelfspark.llm.paragraphs import repeated_paragraphs
 from shelfspark.llm.personal_data import KINDS, find_personal_data
 from shelfspark.llm.quality import score_quality
 from shelfspark.llm.repeats import remove_repeats
@@ -89,6 +90,10 @@ def op7_passage_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_repeated_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_paragraphs(observations(table(spark, folder, "documents"))).withColumnRenamed("observation_id", "doc_id")
+
+
 def op9_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
     out = benchmark_passages(observations(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
     return out.withColumnRenamed("observation_id", "doc_id")
@@ -107,6 +112,7 @@ QUERIES = {
     "op5_simhash_groups": op5_simhash_groups,
     "op6_exact_copies": op6_exact_copies,
     "op7_passage_quality": op7_passage_quality,
+    "op8_repeated_paragraphs": op8_repeated_paragraphs,
     "op9_benchmark_passages": op9_benchmark_passages,
     "op10_repeated_bytes": op10_repeated_bytes,
 }

@@ -108,7 +108,7 @@ def fingerprint_links(prints: DataFrame, column: str) -> DataFrame:
     """
     def key(free):
         kept = ~sum(255 << 8 * p for p in free) & (1 << 64) - 1
-        return F.col(column).bitwiseAND(F.lit(kept - (1 << 64) if kept >> 63 else kept))
+        return F.col("print").bitwiseAND(F.lit(kept - (1 << 64) if kept >> 63 else kept))
 
     entries = F.array(*[F.struct(F.lit(i).alias("slot"), key(f).alias("shared")) for i, f in enumerate(_FREE)])
     index = (prints.select(F.col(column).alias("print")).distinct().select("print", F.explode(entries).alias("e"))

@@ -81,6 +81,52 @@ def test_unchanged_price_adds_no_history(spark, stores, tmp_path):
     assert importer.read("history").filter("store_id = 's1'").count() == 2
 
 
+def product(store, ext, seen, **more):
+    return line(store, ext, "10.00", 1, seen, title=ext, normalized_title=ext, sku=None, **more)
+
+
+def test_key_gained_inside_the_batch_finds_the_stored_product(spark, stores, tmp_path):
+    importer = Importer(spark, str(tmp_path / "db"), stores)
+    first = [product("maximum", f"a{i}", "2026-01-01T10:00:00Z", ean=f"{4840000000000 + i}", mpn=None) for i in range(6)]
+    importer.run(read_observations(spark, write(tmp_path / "a.ndjson", first)), "b1")
+    pairs = [p for i in range(6) for p in (
+        product("maximum", f"b{i}", "2026-01-02T10:00:00Z", ean=f"{4840000000000 + i}", mpn=f"M{i}"),
+        product("darwin", f"c{i}", "2026-01-02T10:00:00Z", ean=None, mpn=f"M{i}"))]
+    importer.run(read_observations(spark, write(tmp_path / "b.ndjson", pairs)), "b2")
+    assert importer.read("products").count() == 6
+    owner = {r.external_id: r.product_id for r in importer.read("offers").collect()}
+    assert all(owner[f"a{i}"] == owner[f"b{i}"] == owner[f"c{i}"] for i in range(6))
+
+
+def test_unknown_category_is_dropped(spark, stores, tmp_path):
+    categories = spark.createDataFrame([("c1", "home-appliances")], "category_id STRING, slug STRING")
+    importer = Importer(spark, str(tmp_path / "db"), stores, categories)
+    rows = [product("maximum", "x", "2026-01-01T10:00:00Z", ean="1", mpn=None), product("maximum", "y", "2026-01-01T10:00:00Z", ean="2", mpn=None, category_slug="nowhere")]
+    importer.run(read_observations(spark, write(tmp_path / "a.ndjson", rows)), "b1")
+    assert {r.title: r.category_slug for r in importer.read("products").collect()} == {"x": "home-appliances", "y": None}
+
+
+@pytest.mark.parametrize("broken", ["products", "offers"])
+def test_replay_after_a_broken_batch(spark, stores, tmp_path, broken):
+    source = write(tmp_path / "a.ndjson", LINES + [product("darwin", "q", "2026-01-01T13:00:00Z", ean=None, mpn="Q1"),
+                                                   product("maximum", "q2", "2026-01-01T13:00:00Z", ean=None, mpn="Q1")])
+    whole = Importer(spark, str(tmp_path / "whole"), stores)
+    whole.run(read_observations(spark, source), "b1")
+    halted = Importer(spark, str(tmp_path / "halted"), stores)
+    table = halted.tables[broken]
+    real = table.write
+
+    def fail(*_, **__):
+        raise OSError("disk full")
+
+    table.write = fail
+    with pytest.raises(OSError):
+        halted.run(read_observations(spark, source), "b1")
+    table.write = real
+    halted.run(read_observations(spark, source), "b1")
+    assert snapshot(halted) == snapshot(whole)
+
+
 def test_stream_equals_batch(spark, stores, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

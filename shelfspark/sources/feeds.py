@@ -108,20 +108,46 @@ def explode_json_objects(df: DataFrame, keys: Sequence[str], column: str) -> Dat
 _RECORDS = pa.list_(pa.map_(pa.string(), pa.string()))
 
 
+# Elements that stand for one record of a product feed; fixed values.
+_ROW_TAGS = ("offer", "product", "item", "entry")
+
+
+class _Rows:
+    """XML parser target: collects the attributes and the texts of direct children of every record element."""
+
+    def __init__(self):
+        self.rows, self.open = [], []
+
+    def start(self, tag, attributes):
+        record = None
+        if tag.rpartition("}")[2].lower() in _ROW_TAGS:
+            record = dict(attributes)
+            self.rows.append(record)
+        if self.open:
+            self.open[-1]["leading"] = False
+        self.open.append({"record": record, "text": [], "leading": True})
+
+    def data(self, text):
+        # An element's text ends at its first child element.
+        if self.open and self.open[-1]["leading"]:
+            self.open[-1]["text"].append(text)
+
+    def end(self, tag):
+        text = "".join(self.open.pop()["text"]).strip()
+        if text and self.open and self.open[-1]["record"] is not None:
+            self.open[-1]["record"][tag.rpartition("}")[2]] = text
+
+    def close(self):
+        return [list(r.items()) for r in self.rows]
+
+
 def _xml_records(body):
+    parser = ElementTree.XMLParser(target=_Rows())
     try:
-        root = ElementTree.fromstring(body)
+        parser.feed(body)
+        return parser.close()
     except (ElementTree.ParseError, ValueError):
         return []
-    out = []
-    for node in root.iter():
-        if not isinstance(node.tag, str) or node.tag.split("}")[-1].lower() not in ("offer", "product", "item", "entry"):
-            continue
-        record = dict(node.attrib)
-        record.update({c.tag.split("}")[-1]: c.text.strip() for c in node
-                       if isinstance(c.tag, str) and c.text and c.text.strip()})
-        out.append(list(record.items()))
-    return out
 
 
 def _csv_records(body):
@@ -192,31 +218,31 @@ def read_feed(df: DataFrame, keys: Sequence[str], body: str = "body", content_ty
 
 # -- sitemaps -------------------------------------------------------------------
 
-_SITEMAP = pa.struct([("kind", pa.string()), ("locs", pa.list_(pa.string()))])
-_SITEMAP_NS = "{http://www.sitemaps.org/schemas/sitemap/0.9}"
+_LOC = r"(?s)<(?:\w+:)?loc\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</(?:\w+:)?loc>"
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#38;": "&", "&amp;": "&"}
 
 
-def _sitemap(body):
-    if "<urlset" not in body and "<sitemapindex" not in body:
-        return None
-    try:
-        root = ElementTree.fromstring(body)
-    except (ElementTree.ParseError, ValueError):
-        return None
-    kind, row = ("index", "sitemap") if root.tag.endswith("sitemapindex") else ("urls", "url")
-    found = root.findall(f"{_SITEMAP_NS}{row}/{_SITEMAP_NS}loc")
-    return {"kind": kind, "locs": [n.text.strip() for n in found if n.text and n.text.strip()]}
+def sitemap_kind(body) -> Column:
+    """index, urls or null, by the document's root element."""
+    root = F.regexp_extract(col(body), r"(?s)^[^<]*(?:<[?!][^>]*>\s*)*<(?:\w+:)?(\w+)", 1)
+    return F.when(root == "sitemapindex", "index").when(root == "urlset", "urls")
+
 
+def sitemap_locs(body) -> Column:
+    """Addresses that a sitemap names, in document order."""
+    def plain(loc: Column) -> Column:
+        for entity, letter in _ENTITIES.items():
+            loc = F.replace(loc, F.lit(entity), F.lit(letter))
+        return strip(loc)
 
-@F.arrow_udf(T.StructType([T.StructField("kind", T.StringType()), T.StructField("locs", T.ArrayType(T.StringType()))]))
-def _parse_sitemap(bodies: pa.Array) -> pa.Array:
-    return pa.array([None if b is None else _sitemap(b) for b in bodies.to_pylist()], type=_SITEMAP)
+    uncommented = F.regexp_replace(col(body), r"(?s)<!--.*?-->", "")
+    return F.filter(F.transform(F.regexp_extract_all(uncommented, F.lit(_LOC), F.lit(1)), plain), lambda x: x != "")
 
 
 def explode_sitemaps(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Distinct page urls reachable from seed sitemaps; ``docs`` holds (url, body) of stored documents."""
-    parsed = docs.select("url", _parse_sitemap("body").alias("m")).filter(F.col("m").isNotNull())
-    links = cut_lineage(parsed.select("url", F.col("m.kind").alias("kind"), F.explode("m.locs").alias("loc")))
+    parsed = docs.select("url", "body", sitemap_kind("body").alias("kind")).filter(F.col("kind").isNotNull())
+    links = cut_lineage(parsed.select("url", "kind", F.explode(sitemap_locs("body")).alias("loc")))
     children = links.filter("kind = 'index'").select("url", F.col("loc").alias("child"))
     visited = cut_lineage(seeds.select("url").distinct())
     frontier = visited
@@ -248,20 +274,30 @@ def next_page(fields) -> Column:
     return F.coalesce(link(pick(fields, *_NEXT)), *[held(h) for h in _NEXT_HOLDERS])
 
 
-def follow_pages(docs: DataFrame, endpoints: DataFrame, max_pages: int = 25) -> DataFrame:
-    """(endpoint, depth, url) of stored response chains; a page is taken once per endpoint."""
+def follow_pages(docs: DataFrame, endpoints: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """(endpoint, depth, url) of stored response chains; a page is taken once per endpoint.
+
+    Without ``max_pages`` a chain is followed to its end; with it the rows also say, as
+    ``cap_reached``, whether their chain went on.
+    """
     parsed = docs.select("url", F.try_parse_json("body").alias("_doc")).filter(F.col("_doc").isNotNull())
     follows = cut_lineage(parsed.select("url", fields_of("_doc").alias("_fields"))
                           .select("url", next_page("_fields").alias("_next")).select("url", resolve_url("url", "_next").alias("next")))
     # jump leads ``length`` pages on; doubling it covers the whole chain in a few joins.
     jump, length = follows.filter(F.col("next").isNotNull()), 1
     seen = endpoints.select("endpoint", F.lit(1).alias("depth"), F.col("endpoint").alias("url"))
-    while length < max_pages:
+    while max_pages is None or length <= max_pages:
         further = seen.join(jump, "url").select("endpoint", (F.col("depth") + length).alias("depth"), F.col("next").alias("url"))
-        seen = cut_lineage(seen.unionByName(further))
+        # A chain that runs in a circle meets its pages again; the first visit counts.
+        longer = cut_lineage(seen.unionByName(further).groupBy("endpoint", "url").agg(F.min("depth").alias("depth")))
+        if longer.count() == seen.count():
+            break
+        seen = longer
         jump = cut_lineage(jump.join(jump.select(F.col("url").alias("next"), F.col("next").alias("_far")), "next")
                            .select("url", F.col("_far").alias("next")))
         length *= 2
-    # A chain that runs in a circle meets its pages again; the first visit counts.
-    first = seen.groupBy("endpoint", "url").agg(F.min("depth").alias("depth")).filter(F.col("depth") <= max_pages)
-    return first.join(follows.select("url"), "url", "left_semi").select("endpoint", "depth", "url")
+    found = seen.join(follows.select("url"), "url", "left_semi").select("endpoint", "depth", "url")
+    if max_pages is None:
+        return found
+    over = found.groupBy("endpoint").agg((F.max("depth") > max_pages).alias("cap_reached"))
+    return found.filter(F.col("depth") <= max_pages).join(over, "endpoint")

@@ -13,7 +13,6 @@ from shelfspark.entries.importing import _text
 from shelfspark.functions.text import url_part
 from shelfspark.operators import extract, links, network
 from shelfspark.plans.views import Catalogue, with_views
-from shelfspark.session import spread
 from shelfspark.sources import feeds
 
 QUERIES, SQL = {}, {}
@@ -30,7 +29,7 @@ def entry(name, sql, *views):
 
 
 def _part(c):
-    return spread(c.table("part")).withColumn("price", F.col("p_retailprice").cast("decimal(14,2)"))
+    return c.table("part").withColumn("price", F.col("p_retailprice").cast("decimal(14,2)"))
 
 
 def _item():
@@ -127,7 +126,7 @@ def _(c):
 
 
 @entry("src9_follow_pages", """SELECT 'https://s.example/c/' || c AS endpoint, CAST(d AS INT) AS depth, 'https://s.example/c/' || c || CASE WHEN d = 1 THEN '' ELSE '?page=' || d END AS url
-  FROM (SELECT o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS d FROM orders) WHERE d <= 25""")
+  FROM (SELECT o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS d FROM orders)""")
 def _(c):
     per = c.table("orders").groupBy(F.col("o_custkey").alias("c")).agg(F.count("*").alias("n"))
     pages = per.select("c", "n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("d"))
@@ -322,16 +321,16 @@ def _site_links(c):
 
 
 @entry("ext14_reachable_products", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY 'https://s.example/c/' || c_custkey) AS rk FROM customer)
-  SELECT 'n' || c_nationkey AS site, 'https://s.example/o/' || o_orderkey AS url FROM p JOIN orders ON o_custkey = c_custkey WHERE rk <= 49""")
+  SELECT 'n' || c_nationkey AS site, 'https://s.example/o/' || o_orderkey AS url FROM p JOIN orders ON o_custkey = c_custkey""")
 def _(c):
     rows, seeds = _site_links(c)
-    return links.reachable_products(rows, seeds, max_pages=50)[0]
+    return links.reachable_products(rows, seeds)[0]
 
 
-@entry("ext14_reachable_summary", """SELECT 'n' || c_nationkey AS site, least(count(*) + 1, 50) AS pages_visited, count(*) > 49 AS cap_reached FROM customer GROUP BY 1""")
+@entry("ext14_reachable_summary", """SELECT 'n' || c_nationkey AS site, count(*) + 1 AS pages_visited, false AS cap_reached FROM customer GROUP BY 1""")
 def _(c):
     rows, seeds = _site_links(c)
-    return links.reachable_products(rows, seeds, max_pages=50)[1]
+    return links.reachable_products(rows, seeds)[1]
 
 
 @entry("ext15_api_candidates", f"""SELECT DISTINCT page_id, origin || '/api/v2/list?page=' || page_id AS api_url FROM (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM pages)
@@ -342,7 +341,7 @@ def _(c):
 
 
 @entry("ext16_source_profile", f"""SELECT {HOST} AS site, count(*) AS pages, bool_or(page_id % 3 = 0) AS product_jsonld, bool_or(page_id % 5 = 0) AS html_product_hints, false AS embedded_json,
-   'https://feeds.example/all.xml' AS feed_urls, CAST(least(count(DISTINCT url_key), 20) AS INT) AS n_api FROM (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/api/p' || page_id AS url_key FROM pages) GROUP BY 1""")
+   'https://feeds.example/all.xml' AS feed_urls, CAST(count(DISTINCT url_key) AS INT) AS n_api FROM (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/api/p' || page_id AS url_key FROM pages) GROUP BY 1""")
 def _(c):
     k = F.col("page_id")
     extra = _text(F.when(k % 3 == 0, '<script type="application/ld+json">{"@type": "Product"}</script>').otherwise(""),

@@ -412,11 +412,13 @@ def _(c):
 
 
 @entry("rec1_reconcile_missing", """WITH m AS (SELECT o.*, o.store_id % 10 <> 0 AND o.last_seen_at < TIMESTAMP '2001-01-01' + o.store_id * INTERVAL 1 DAY AND stock_status <> 'OUT_OF_STOCK' AS marked FROM fx_offer o)
-  SELECT offer_id, marked, CASE WHEN marked THEN 'OUT_OF_STOCK' ELSE stock_status END AS stock_status, CASE WHEN NOT marked THEN quantity END AS quantity FROM m""", "fx_offer")
+  SELECT offer_id, marked, CASE WHEN marked THEN 'OUT_OF_STOCK' ELSE stock_status END AS stock_status, CASE WHEN NOT marked THEN quantity END AS quantity,
+    CASE WHEN marked THEN TIMESTAMP '2001-01-01' + store_id * INTERVAL 1 DAY ELSE last_seen_at END AS last_stock_update FROM m""", "fx_offer")
 def _(c):
     runs = c.store.select("store_id", F.expr("TIMESTAMP_NTZ '2001-01-01 00:00:00' + store_id * INTERVAL 1 DAY").alias("started_at"),
                           F.when(F.col("store_id") % 10 == 0, 1).otherwise(0).alias("failed"))
-    return upsert.reconcile_stores(c.offer, runs).select("offer_id", "marked", "stock_status", "quantity")
+    offers = c.offer.withColumn("last_stock_update", F.col("last_seen_at"))
+    return upsert.reconcile_stores(offers, runs).select("offer_id", "marked", "stock_status", "quantity", "last_stock_update")
 
 
 @entry("snk2_upsert", """SELECT c_custkey AS id, CASE WHEN n.total IS NOT NULL THEN n.total ELSE round(c_acctbal, 2) END AS total FROM customer

@@ -89,7 +89,7 @@ def is_available(status) -> Column:
 
 
 def quantity_from_text(text, patterns=rules.QUANTITY_PATTERNS) -> Column:
-    return F.coalesce(*[blank_to_null(F.regexp_extract(col(text), "(?iU)" + p, 1)) for p in patterns]).cast("int")
+    return F.coalesce(*[blank_to_null(F.regexp_extract(col(text), "(?iU)" + p, 1)) for p in patterns]).try_cast("int")
 
 
 def sku_from_text(text, pattern=rules.SKU_PATTERN) -> Column:

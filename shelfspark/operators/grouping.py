@@ -7,64 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is cut into time segments before it is sorted.
-HOT_KEY_ROWS = 2_000_000
-SEGMENT_SECONDS = 3600
+from shelfspark.session import cut_lineage
 
 
-def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
-    """First k rows per key.
+def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:
+    """First k rows per key; ``rank`` names a column for their place.
 
     The ``<= k`` filter lets Spark keep only k rows per key and task before the
     shuffle, so a hot key never reaches one task whole.
     """
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col("_rank") <= k).drop("_rank")
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= k)
+    return ranked.withColumnRenamed("_rank", rank) if rank else ranked.drop("_rank")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEY_ROWS) -> DataFrame:
-    """Keys above the limit.  At most rows/limit of them exist, whatever the data."""
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
-
-
-def lag_by_key(
-    df: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    tie: Sequence[str],
-    values: Sequence[str],
-    hot_limit: int = HOT_KEY_ROWS,
-    segment_seconds: int = SEGMENT_SECONDS,
-) -> DataFrame:
+def lag_by_key(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Add ``prev_<v>`` for every value column and ``has_prev``, in (time, tie) order per key.
 
-    Ordinary keys are sorted in one task each.  A hot key is cut into time
-    segments: rows look back inside their own segment, and the first row of a
-    segment takes the last row of the segment before it.
+    Rows are range partitioned by (key, time, tie), so a key of any size is cut into pieces
+    that fit a task, whatever its times.  Rows look back inside their piece; the first row of a
+    piece takes the last row of the key's piece before it, one small row per key and piece.
     """
     keys, tie, values = list(keys), list(tie), list(values)
-    # At most rows/hot_limit keys, so the side stays small however large the data is.
-    hot = F.broadcast(hot_keys(df, keys, hot_limit).withColumn("_hot", F.lit(True)))
-    second = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (segment_seconds * 1_000_000))
-    rows = (
-        df.join(hot, keys, "left")
-        .withColumn("_segment", F.when(F.col("_hot"), second))
-        .withColumn("_row", F.struct(*[F.col(v) for v in values]))
-    )
-    inside = Window.partitionBy(*keys, "_segment").orderBy(time, *tie)
-    rows = rows.withColumn("_prev", F.lag("_row").over(inside))
-
-    tails = (
-        rows.filter(F.col("_hot"))
-        .groupBy(*keys, "_segment")
-        .agg(F.max_by("_row", F.struct(F.col(time), *[F.col(t) for t in tie])).alias("_tail"))
-    )
-    across = Window.partitionBy(*keys).orderBy("_segment")
-    carried = tails.select(*keys, "_segment", F.lag("_tail").over(across).alias("_carried"))
-    rows = rows.join(carried, [*keys, "_segment"], "left")
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Stored, because range bounds are sampled: computed twice, the pieces would not be the same.
+    rows = cut_lineage(df.repartitionByRange(pieces, *keys, time, *tie).withColumn("_piece", F.spark_partition_id()))
+    rows = rows.withColumn("_row", F.struct(*[F.col(v) for v in values]))
+    inside = Window.partitionBy(*keys, "_piece").orderBy(time, *tie)
+    tails = rows.groupBy(*keys, "_piece").agg(F.max_by("_row", F.struct(F.col(time), *[F.col(t) for t in tie])).alias("_tail"))
+    across = Window.partitionBy(*keys).orderBy("_piece")
+    carried = tails.select(*keys, "_piece", F.lag("_tail").over(across).alias("_carried")).filter(F.col("_carried").isNotNull())
+    rows = rows.withColumn("_prev", F.lag("_row").over(inside)).join(carried, [*keys, "_piece"], "left")
     previous = F.coalesce("_prev", "_carried")
     return (
         rows.withColumn("has_prev", previous.isNotNull())
         .withColumns({f"prev_{v}": previous[v] for v in values})
-        .drop("_hot", "_segment", "_row", "_prev", "_carried")
+        .drop("_piece", "_row", "_prev", "_carried")
     )

@@ -77,48 +77,49 @@ def extract_links(pages: DataFrame, keys: Sequence[str], url: str = "url", html:
                        kind.alias("kind"), F.coalesce(entry, F.lit(False)).alias("catalog_entry"))
 
 
-def reachable_products(links: DataFrame, seeds: DataFrame, max_pages: int = 5000) -> tuple[DataFrame, DataFrame]:
+def reachable_products(links: DataFrame, seeds: DataFrame, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(site, product url) reachable over listing links, and (site, pages_visited, cap_reached).
 
-    ``links`` holds (site, page_url, url, kind); ``seeds`` holds (site, url).  All
-    sites advance one depth per round; a site stops at ``max_pages`` listing
-    pages, taken in (depth, url) order, and says so.
+    ``links`` holds (site, page_url, url, kind); ``seeds`` holds (site, url).  All sites
+    advance one depth per round.  With ``max_pages`` a site stops at so many listing pages,
+    taken in (depth, url) order, and says so; without it every page is visited.
     """
     listing = links.filter("kind = 'listing'").select("site", "page_url", "url").distinct()
-    visited = None
-    frontier = seeds.select("site", "url").distinct()
-    capped = None
-    depth = 0
-    while True:
-        used = None if visited is None else visited.groupBy("site").agg(F.count("*").alias("_used"))
-        ranked = frontier if used is None else frontier.join(used, "site", "left")
-        room = F.lit(max_pages) - (F.lit(0) if used is None else F.coalesce("_used", F.lit(0)))
-        # At most max_pages rows per site survive the map side; one more tells that the cap was hit.
-        best = _rank_within(ranked, max_pages + 1)
-        step = cut_lineage(best.withColumn("_in", F.col("_rank") <= room).select("site", "url", "_in"))
-        over = step.filter(~F.col("_in")).select("site").distinct()
-        capped = over if capped is None else capped.union(over)
-        taken = step.filter("_in").select("site", "url", F.lit(depth).alias("depth"))
-        visited = taken if visited is None else visited.unionByName(taken)
-        visited = cut_lineage(visited)
-        nxt = (listing.join(taken.select("site", F.col("url").alias("page_url")), ["site", "page_url"])
-               .select("site", "url").distinct().join(visited.select("site", "url"), ["site", "url"], "left_anti"))
-        frontier = cut_lineage(nxt)
+    frontier = cut_lineage(seeds.select("site", "url").distinct())
+    visited, capped, depth = None, None, 0
+    while not frontier.isEmpty():
+        taken = frontier
+        if max_pages is not None:
+            taken, over = _within_budget(frontier, visited, max_pages)
+            capped = over if capped is None else capped.union(over)
+        taken = taken.select("site", "url", F.lit(depth).alias("depth"))
+        visited = cut_lineage(taken if visited is None else visited.unionByName(taken))
+        # The pages of this round, read from the stored table rather than computed again.
+        now = visited.filter(F.col("depth") == depth).select("site", F.col("url").alias("page_url"))
+        frontier = cut_lineage(listing.join(now, ["site", "page_url"]).select("site", "url").distinct()
+                               .join(visited.select("site", "url"), ["site", "url"], "left_anti"))
         depth += 1
-        if frontier.isEmpty():
-            break
+    if visited is None:
+        visited = frontier.withColumn("depth", F.lit(0))
     pages = visited.select("site", F.col("url").alias("page_url"))
     products = (links.filter("kind = 'product'").select("site", "page_url", "url").join(pages, ["site", "page_url"], "left_semi")
                 .select("site", "url").distinct())
-    summary = (visited.groupBy("site").agg(F.count("*").alias("pages_visited"))
-               .join(capped.distinct().withColumn("cap_reached", F.lit(True)), "site", "left")
-               .withColumn("cap_reached", F.coalesce("cap_reached", F.lit(False))))
-    return products, summary
+    summary = visited.groupBy("site").agg(F.count("*").alias("pages_visited"))
+    if capped is None:
+        return products, summary.withColumn("cap_reached", F.lit(False))
+    return products, summary.join(capped.distinct().withColumn("cap_reached", F.lit(True)), "site", "left").withColumn(
+        "cap_reached", F.coalesce("cap_reached", F.lit(False)))
 
 
-def _rank_within(df: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql import Window
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy("site").orderBy("url"))).filter(F.col("_rank") <= k)
+def _within_budget(frontier: DataFrame, visited: DataFrame | None, max_pages: int) -> tuple[DataFrame, DataFrame]:
+    """(pages that still fit, sites that had more)."""
+    room = F.lit(max_pages)
+    if visited is not None:
+        frontier = frontier.join(visited.groupBy("site").agg(F.count("*").alias("_used")), "site", "left")
+        room = room - F.coalesce("_used", F.lit(0))
+    ranked = top_per_group(frontier.withColumn("_room", room), ["site"], [F.col("url")], max_pages + 1, rank="_rank")
+    step = cut_lineage(ranked.select("site", "url", (F.col("_rank") <= F.col("_room")).alias("_in")))
+    return step.filter("_in").select("site", "url"), step.filter("not _in").select("site").distinct()
 
 
 def initial_listing_urls(seeds: DataFrame) -> DataFrame:
@@ -155,13 +156,15 @@ def page_flags(html="html") -> dict[str, Column]:
     return {"product_jsonld": text.rlike(product), "embedded_json": text.rlike(embedded), "html_product_hints": text.rlike(card)}
 
 
-def _rank_list(rows: DataFrame, value: str, order: list[Column], name: str, limit: int) -> DataFrame:
-    best = top_per_group(rows.select("site", value).distinct(), ["site"], order, limit)
+def _rank_list(rows: DataFrame, value: str, order: list[Column], name: str, limit: int | None) -> DataFrame:
+    best = rows.select("site", value).distinct()
+    if limit is not None:
+        best = top_per_group(best, ["site"], order, limit)
     packed = F.sort_array(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(value).alias("v"))))
     return best.groupBy("site").agg(F.transform(packed, lambda s: s["v"]).alias(name))
 
 
-def source_profile(pages: DataFrame, site: Column, limit: int = 20) -> DataFrame:
+def source_profile(pages: DataFrame, site: Column, limit: int | None = None) -> DataFrame:
     """Per site: page hints, context hints, and the best catalogue, feed and API addresses."""
     rows = pages.select(site.alias("site"), "url", "html")
     flags = page_flags()

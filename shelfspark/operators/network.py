@@ -75,12 +75,15 @@ def merge_network_product(pages: DataFrame, matches: DataFrame, responses: DataF
                              "network_json_product_match": have, "network_json_enriched": have}).drop("_match", *n_cols)
 
 
-def json_shapes(responses: DataFrame, key: str = "page_id", per_page: int = 5) -> DataFrame:
-    """Schema summary of the first responses of a page; values and query strings are left out.
+def json_shapes(responses: DataFrame, key: str = "page_id", per_page: int | None = None,
+                max_keys: int | None = None, path_chars: int | None = None) -> DataFrame:
+    """Schema summary of the responses of a page; values and query strings are left out.
+
+    ``per_page`` keeps the first responses, ``max_keys`` and ``path_chars`` shorten what is shown.
 
     ``responses`` holds (page_id, response, response_url, body).
     """
-    first = top_per_group(responses, [key], [F.col("response")], per_page)
+    first = responses if per_page is None else top_per_group(responses, [key], [F.col("response")], per_page)
     docs = first.select(key, "response", "response_url", F.try_parse_json("body").alias("_doc")).filter(F.col("_doc").isNotNull())
     objects = walk_json(docs, [key, "response"], "_doc")
 
@@ -90,10 +93,13 @@ def json_shapes(responses: DataFrame, key: str = "page_id", per_page: int = 5) -
     counts = objects.groupBy(key, "response").agg(
         F.count("*").alias("object_count"), F.count_if(looks_like_product()).alias("product_like_count"),
         F.count_if(has_any(ID_KEYS)).alias("id_like_count"), F.count_if(has_any(STOCK_KEYS)).alias("stock_like_count"))
-    root_keys = F.slice(F.array_sort(F.map_keys(fields_of("_doc"))), 1, 20)
+    root_keys = F.array_sort(F.map_keys(fields_of("_doc")))
+    if max_keys is not None:
+        root_keys = F.slice(root_keys, 1, max_keys)
+    path = url_part("response_url", "path")
     is_object = fields_of("_doc").isNotNull()
     shaped = docs.select(
-        key, "response", F.left(url_part("response_url", "path"), F.lit(200)).alias("path"),
+        key, "response", (path if path_chars is None else F.left(path, F.lit(path_chars))).alias("path"),
         F.when(is_object, "object").otherwise("array").alias("root_type"),
         F.when(is_object, root_keys).otherwise(F.array().cast("array<string>")).alias("top_keys"))
     names = ("object_count", "product_like_count", "id_like_count", "stock_like_count")

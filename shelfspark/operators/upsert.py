@@ -6,6 +6,8 @@ it.  Time is always the observation's ``seen_at``, never the wall clock.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -134,8 +136,8 @@ def upsert_products(products: DataFrame, obs: DataFrame, seq: str = "seq") -> Da
 def _history(stored_rows: DataFrame, batch: DataFrame, keys: list[str], watched: list[str], time: str) -> DataFrame:
     """Stored rows placed before all rows of the batch, each with its predecessor's watched values."""
     before = stored_rows.withColumns({
-        "_time": F.lit(BEFORE_ALL).cast("timestamp_ntz"), "_seq": F.lit(-1).cast("long"), "_stored": F.lit(True)})
-    after = batch.withColumns({"_time": F.col(time), "_seq": F.col("seq").cast("long"), "_stored": F.lit(False)})
+        "_time": F.lit(BEFORE_ALL).cast("timestamp_ntz"), "_seq": F.lit(-1).cast("decimal(38,0)"), "_stored": F.lit(True)})
+    after = batch.withColumns({"_time": F.col(time), "_seq": F.col("seq").cast("decimal(38,0)"), "_stored": F.lit(False)})
     rows = before.unionByName(after, allowMissingColumns=True)
     return lag_by_key(rows, keys, "_time", ["_seq"], watched)
 
@@ -177,7 +179,7 @@ def append_price_history(offers: DataFrame, batch: DataFrame, keys=("store_id",
     keys = list(keys)
     rows = _history(offers.select(*keys, "price"), batch.select(*keys, "price", "seen_at", "seq"), keys, ["price"], "seen_at")
     return rows.filter(~F.col("_stored") & _changed(["price"])).select(
-        *keys, F.col("price"), F.col("seen_at").alias("recorded_at"), F.col("_seq").alias("seq"))
+        *keys, F.col("price"), F.col("seen_at").alias("recorded_at"), F.col("_seq").cast("long").alias("seq"))
 
 
 def upsert_availability(availability: DataFrame, batch: DataFrame, keys=("offer_id", "location_id")) -> DataFrame:
@@ -195,6 +197,10 @@ def upsert_availability(availability: DataFrame, batch: DataFrame, keys=("offer_
     return merged.select(*keys, "_v.*", "last_stock_update")
 
 
+# Room for the branch position behind an observation's number; wide decimals cannot run over.
+_POSITIONS = Decimal(1 << 31)
+
+
 def branch_rows(obs: DataFrame) -> DataFrame:
     """One row per branch of an observation, with the names a location is found by."""
     a = F.col("a")
@@ -204,7 +210,7 @@ def branch_rows(obs: DataFrame) -> DataFrame:
         .filter(trimmed("city").isNotNull())
         .select(
             "store_id", F.col("external_id").alias("offer_external_id"), "seen_at",
-            (F.col("seq") * 10_000 + F.col("pos")).alias("seq"),
+            (F.col("seq").cast("decimal(20,0)") * F.lit(_POSITIONS) + F.col("pos")).cast("decimal(38,0)").alias("seq"),
             trimmed("location_external_id").alias("external_id"), trimmed("city").alias("city"),
             F.coalesce(trimmed("location_name"), trimmed("address"), trimmed("city")).alias("name"),
             trimmed("address").alias("address"), a["latitude"].alias("latitude"), a["longitude"].alias("longitude"),
@@ -275,6 +281,7 @@ def reconcile_stores(offers: DataFrame, runs: DataFrame, grace_hours: int = 0) -
     return offers.join(starts, "store_id", "left").withColumn("marked", marked).withColumns({
         "stock_status": F.when(F.col("marked"), "OUT_OF_STOCK").otherwise(F.col("stock_status")),
         "quantity": F.when(~F.col("marked"), F.col("quantity")),
+        "last_stock_update": F.when(F.col("marked"), F.col("_started")).otherwise(F.col("last_stock_update")),
     }).drop("_started")
 
 
@@ -368,9 +375,12 @@ CARD_LIMITS = {"label": 120, "cardholder_name": 120, "payload": 4096, "barcode_f
 
 
 def check_cards(requests: DataFrame) -> DataFrame:
-    """Trim, cut to length and flag requests that cannot become a card."""
-    cut = requests.withColumns({c: blank_to_null(F.left(strip(c), F.lit(n))) for c, n in CARD_LIMITS.items()})
-    bad = F.col("label").isNull() | F.col("payload").isNull() | ~F.coalesce(F.col("barcode_format").isin(*rules.BARCODE_FORMATS), F.lit(False))
+    """Trim, cut the labels to length and flag requests that cannot become a card.
+
+    A payload over its limit is refused: cut and sealed it would no longer be the card.
+    """
+    cut = requests.withColumns({c: blank_to_null(strip(c) if c == "payload" else F.left(strip(c), F.lit(n))) for c, n in CARD_LIMITS.items()})
+    bad = F.col("label").isNull() | F.col("payload").isNull() | (F.length("payload") > CARD_LIMITS["payload"]) | ~F.coalesce(F.col("barcode_format").isin(*rules.BARCODE_FORMATS), F.lit(False))
     return cut.withColumn("reason", F.when(bad, "Invalid loyalty card data."))
 
 

@@ -16,8 +16,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Lets "first k per key" filters cut groups before the shuffle for k up to a site page cap.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
@@ -56,13 +54,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and ends plan growth in loops."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Use every core on a small scan before CPU-heavy row work.
-
-    Meant for a bare file scan.  A scan with at least as many splits as cores,
-    which is every large table, is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -4,8 +4,10 @@ from difflib import SequenceMatcher
 from urllib.robotparser import RobotFileParser
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shelfspark import rules
 from shelfspark.functions.html import anchors, product_hits
 from shelfspark.operators import extract, links, match, network, quality, upsert, validate
 from shelfspark.operators.grouping import lag_by_key, top_per_group
@@ -14,14 +16,42 @@ from shelfspark.sources import feeds
 
 # -- groups -----------------------------------------------------------------------
 
-def test_hot_key_segments_equal_plain_lag(spark):
-    # One key holds most rows; a limit of 10 cuts it into hourly segments.
+@pytest.mark.parametrize("spacing", [97_000_000, 0])
+def test_lag_over_pieces_equals_plain_lag(spark, spacing):
+    # One key holds most rows (at one time, if spacing is 0) and so lies in several pieces.
     rows = spark.range(4000).select(
         F.when(F.col("id") % 5 == 0, F.col("id") % 37).otherwise(-1).alias("k"), F.col("id").alias("seq"),
-        F.timestamp_micros((F.col("id") * 7919 % 4000) * 97_000_000).cast("timestamp_ntz").alias("t"), (F.col("id") % 3).alias("v"))
-    hot = lag_by_key(rows, ["k"], "t", ["seq"], ["v"], hot_limit=10).select("seq", "prev_v", "has_prev")
-    plain = lag_by_key(rows, ["k"], "t", ["seq"], ["v"]).select("seq", "prev_v", "has_prev")
-    assert sorted(map(tuple, hot.collect())) == sorted(map(tuple, plain.collect()))
+        F.timestamp_micros((F.col("id") * 7919 % 4000) * spacing).cast("timestamp_ntz").alias("t"), (F.col("id") % 3).alias("v"))
+    before = F.lag(F.struct("v")).over(Window.partitionBy("k").orderBy("t", "seq"))
+    plain = rows.select("seq", before["v"].alias("prev_v"), before.isNotNull().alias("has_prev"))
+    got = lag_by_key(rows, ["k"], "t", ["seq"], ["v"]).select("seq", "prev_v", "has_prev")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_page_caps_are_explicit(spark):
+    docs = spark.createDataFrame([(f"https://s.md/{i}", f'{{"next": "/{(i + 1) % 40}"}}' if i < 39 else "{}") for i in range(40)], "url STRING, body STRING")
+    start = spark.createDataFrame([("https://s.md/0",)], "endpoint STRING")
+    assert sorted(r.depth for r in feeds.follow_pages(docs, start).collect()) == list(range(1, 41))
+    capped = feeds.follow_pages(docs, start, max_pages=5).collect()
+    assert len(capped) == 5 and all(r.cap_reached for r in capped)
+    tree = spark.createDataFrame([("s", "r", f"l{i}", "listing") for i in range(9)] + [("s", f"l{i}", f"p{i}", "product") for i in range(9)],
+                                 "site STRING, page_url STRING, url STRING, kind STRING")
+    seeds = spark.createDataFrame([("s", "r")], "site STRING, url STRING")
+    products, summary = links.reachable_products(tree, seeds)
+    assert products.count() == 9 and summary.first().pages_visited == 10 and not summary.first().cap_reached
+    products, summary = links.reachable_products(tree, seeds, max_pages=4)
+    assert products.count() == 3 and summary.first().pages_visited == 4 and summary.first().cap_reached
+
+
+def test_bad_digits_and_long_payloads(spark):
+    from shelfspark.functions.commerce import quantity_from_text
+
+    rows = spark.createDataFrame([("In stoc: ٣",), ("In stoc: 7",)], "t STRING").select(quantity_from_text("t").alias("q"))
+    assert [r.q for r in rows.collect()] == [None, 7]
+    cards = spark.createDataFrame([("a", "n", "x" * 5000, "QR", "", ""), ("a", "n", "x" * 4096, "QR", "", "")],
+                                  "label STRING, cardholder_name STRING, payload STRING, barcode_format STRING, notes STRING, color STRING")
+    checked = upsert.check_cards(cards.withColumn("barcode_format", F.lit(rules.BARCODE_FORMATS[0]))).collect()
+    assert [r.reason is None for r in checked] == [False, True]
 
 
 def test_first_rows_are_cut_before_the_shuffle(spark):

@@ -12,7 +12,9 @@ def _quote(text: str) -> str:
 
 
 def _sql_functions(category_rules) -> list[str]:
-    from shelfspark.functions.clock import DEFAULT_TIMEZONE
+    from zoneinfo import available_timezones
+
+    from shelfspark.functions.clock import CLOSE_TIME, DEFAULT_TIMEZONE, OPEN_TIME
     from shelfspark.functions.geo import EARTH_RADIUS_KM
 
     blank = r"[\\s\\x1c-\\x1f\\x85\\p{Z}]"
@@ -24,7 +26,7 @@ def _sql_functions(category_rules) -> list[str]:
                       f"THEN named_struct('slug', {_quote(slug)}, 'confidence', {rules.TERMINAL_CONFIDENCE}D)"
                       for slug, words in rules.TERMINAL_CATEGORIES.items())
     days = ", ".join(map(_quote, rules.WEEKDAYS))
-    minute = lambda t: f"(int(substr({t}, 1, 2)) * 60 + int(substr({t}, 4, 2)))"
+    minute = lambda t: f"(try_cast(substr({t}, 1, 2) AS INT) * 60 + try_cast(substr({t}, 4, 2) AS INT))"
     start, end = minute("p.open"), minute("p.close")
     hours = ("STRUCT<version INT, kind STRING, timezone STRING, weekly MAP<STRING, ARRAY<STRUCT<open: STRING, close: STRING>>>, "
              "temporarilyClosed BOOLEAN>")
@@ -53,15 +55,20 @@ def _sql_functions(category_rules) -> list[str]:
         f"""sf_open_at(today ARRAY<STRUCT<open: STRING, close: STRING>>, before ARRAY<STRUCT<open: STRING, close: STRING>>, m INT) RETURNS BOOLEAN RETURN
             exists(today, p -> CASE WHEN {start} = {end} THEN {start} = 0 WHEN {end} > {start} THEN m >= {start} AND m < {end} ELSE m >= {start} END)
             OR exists(before, p -> CASE WHEN {start} = {end} THEN {start} = 0 WHEN {end} > {start} THEN false ELSE m < {end} END)""",
+        f"""sf_zone(zone STRING) RETURNS STRING RETURN CASE WHEN coalesce(nullif(zone, ''), '{DEFAULT_TIMEZONE}') IN
+            ({', '.join(map(_quote, sorted(available_timezones())))}) THEN coalesce(nullif(zone, ''), '{DEFAULT_TIMEZONE}') END""",
+        f"""sf_valid_hours(h {hours}) RETURNS BOOLEAN RETURN coalesce(h.version = 1 AND (h.kind = 'online_only' OR
+            ((h.kind IS NULL OR h.kind = 'schedule') AND h.weekly IS NOT NULL AND
+             forall(map_values(map_filter(h.weekly, (d, _) -> d IN ({days}))), d -> d IS NULL OR forall(d, p ->
+                coalesce(p.open RLIKE {_quote(OPEN_TIME)} AND p.close RLIKE {_quote(CLOSE_TIME)}, false))))), false)""",
         f"""sf_state(h {hours}, today ARRAY<STRUCT<open: STRING, close: STRING>>, before ARRAY<STRUCT<open: STRING, close: STRING>>, m INT) RETURNS STRING RETURN
-            CASE WHEN h IS NULL OR h.version IS NULL OR h.version <> 1 THEN 'unknown' WHEN h.kind = 'online_only' THEN 'online_only'
-            WHEN h.weekly IS NULL OR h.kind <> 'schedule' THEN 'unknown' WHEN h.temporarilyClosed THEN 'temporarily_closed'
-            WHEN today IS NULL OR before IS NULL THEN 'unknown' WHEN sf_open_at(today, before, m) THEN 'open' ELSE 'closed' END""",
+            CASE WHEN NOT sf_valid_hours(h) THEN 'unknown' WHEN h.kind = 'online_only' THEN 'online_only' WHEN h.temporarilyClosed THEN 'temporarily_closed'
+            WHEN sf_zone(h.timezone) IS NULL OR today IS NULL OR before IS NULL THEN 'unknown' WHEN sf_open_at(today, before, m) THEN 'open' ELSE 'closed' END""",
+        f"""sf_local(h {hours}, at TIMESTAMP) RETURNS TIMESTAMP RETURN from_utc_timestamp(at, coalesce(sf_zone(h.timezone), 'UTC'))""",
         f"""open_state(h {hours}, at TIMESTAMP) RETURNS STRING RETURN sf_state(h,
-            try_element_at(h.weekly, array({days})[weekday(from_utc_timestamp(at, coalesce(nullif(h.timezone, ''), '{DEFAULT_TIMEZONE}')))]),
-            try_element_at(h.weekly, array({days})[pmod(weekday(from_utc_timestamp(at, coalesce(nullif(h.timezone, ''), '{DEFAULT_TIMEZONE}'))) + 6, 7)]),
-            hour(from_utc_timestamp(at, coalesce(nullif(h.timezone, ''), '{DEFAULT_TIMEZONE}'))) * 60
-              + minute(from_utc_timestamp(at, coalesce(nullif(h.timezone, ''), '{DEFAULT_TIMEZONE}'))))""",
+            try_element_at(h.weekly, array({days})[weekday(sf_local(h, at))]),
+            try_element_at(h.weekly, array({days})[pmod(weekday(sf_local(h, at)) + 6, 7)]),
+            hour(sf_local(h, at)) * 60 + minute(sf_local(h, at)))""",
     ]
 
 

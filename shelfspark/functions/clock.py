@@ -75,8 +75,8 @@ def age_label(moment, as_of) -> Column:
     )
 
 
-_OPEN = r"^(?:[01]\d|2[0-3]):[0-5]\d$"
-_CLOSE = r"^(?:(?:[01]\d|2[0-3]):[0-5]\d|24:00)$"
+OPEN_TIME = r"^(?:[01]\d|2[0-3]):[0-5]\d$"
+CLOSE_TIME = r"^(?:(?:[01]\d|2[0-3]):[0-5]\d|24:00)$"
 
 
 def _minutes(text: Column) -> Column:
@@ -89,7 +89,7 @@ def valid_store_hours(hours) -> Column:
     kind = h["kind"]
     periods = F.map_values(F.map_filter(h["weekly"], lambda day, _: day.isin(*rules.WEEKDAYS)))
     valid = F.forall(periods, lambda day: day.isNull() | F.forall(
-        day, lambda p: F.coalesce(p["open"].rlike(_OPEN) & p["close"].rlike(_CLOSE), F.lit(False))))
+        day, lambda p: F.coalesce(p["open"].rlike(OPEN_TIME) & p["close"].rlike(CLOSE_TIME), F.lit(False))))
     schedule = (kind.isNull() | (kind == "schedule")) & h["weekly"].isNotNull() & valid
     return F.coalesce((h["version"] == 1) & ((kind == "online_only") | schedule), F.lit(False))
 

@@ -170,3 +170,20 @@ def test_sql_functions_agree(spark):
                                   f"h {HOURS_T}, t STRING")
     for row in hours.select(F.expr("open_state(h, CAST(t AS TIMESTAMP))").alias("a"), clock.open_state("h", F.col("t").cast("timestamp"))["state"].alias("b")).collect():
         assert row.a == row.b
+
+
+def test_sql_open_state_equals_the_column(spark):
+    from shelfspark.functions import register_sql
+    from shelfspark.functions.clock import open_state
+
+    register_sql(spark)
+    hours = ("STRUCT<version: INT, kind: STRING, timezone: STRING, weekly: MAP<STRING, ARRAY<STRUCT<open: STRING, close: STRING>>>, "
+             "temporarilyClosed: BOOLEAN>")
+    day = lambda a, b: {d: [(a, b)] for d in ("mon", "tue", "wed", "thu", "fri", "sat", "sun")}
+    rows = [((1, k, zone, week, closed),) for k in (None, "schedule", "online_only", "odd") for zone in (None, "", "Europe/Chisinau", "No/Where")
+            for week in (None, day("09:00", "18:00"), day("22:00", "06:00"), day("9h", "x"), day("00:00", "00:00"), {"mon": []})
+            for closed in (None, True)] + [((2, None, None, day("09:00", "18:00"), None),), (None,)]
+    table = spark.createDataFrame(rows, f"h {hours}")
+    table = table.withColumn("at", F.expr("TIMESTAMP '2026-01-05 10:30:00'"))
+    got = table.select(open_state("h", "at")["state"].alias("a"), F.expr("open_state(h, at)").alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and {"open", "closed", "unknown"} <= {r.a for r in got}

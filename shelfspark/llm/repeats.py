@@ -113,14 +113,24 @@ def _find_anchors(length: int, gram: int):
 
 
 def _cut_contexts(length: int):
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        names = ("row", "anchor", "lo", "copies")
+        return pd.DataFrame({c: [r[i] for r in out] for i, c in enumerate(names)}
+                            | {"context": pd.Series([r[-1] for r in out], dtype=object)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
         for batch in batches:
             for row, body, spots in zip(batch["row"], batch["body"], batch["spots"]):
                 body = body.encode()
-                spots = [(s["anchor"], s["lo"], s["hi"], s["copies"], s["crowd"]) for s in spots]
-                yield pd.DataFrame({"row": row, "anchor": [s[0] for s in spots], "lo": [s[1] for s in spots], "copies": [s[3] for s in spots],
-                                    "crowd": [s[4] for s in spots],
-                                    "context": pd.Series([body[s[1]:s[2] + length] for s in spots], dtype=object)})
+                for s in spots:
+                    out.append((row, s["anchor"], s["lo"], s["copies"], body[s["lo"]:s["hi"] + length]))
+                    size += len(out[-1][-1])
+                if size > _SHARD_BYTES:
+                    yield frame(out)
+                    out, size = [], 0
+        if out:
+            yield frame(out)
 
     return run
 
@@ -238,21 +248,26 @@ def remove_repeats(observations: DataFrame, key: str = "observation_id", text: s
     folder = f"{spark.sparkContext.getCheckpointDir()}/anchors-{uuid.uuid4().hex}"
     texts.select("row", "body").mapInPandas(
         _find_anchors(length, gram), "row long, anchor long, c1 long, c2 long, lo long, hi long").write.parquet(folder)
-    anchors = spark.read.parquet(folder)
+    # Most anchors are met once and end here; the counts travel alone, so the wide rows are shuffled once.
+    met = spark.read.parquet(folder)
+    met.join(met.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchor", "left_semi").write.parquet(f"{folder}-again")
+    anchors = spark.read.parquet(f"{folder}-again")
 
     contexts = anchors.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("row", "lo", "hi")).alias("one"))
     several = contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     whole = (anchors.join(contexts.filter("copies > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_semi")
              .select("row", F.col("lo").alias("start"), (F.col("hi") + length).alias("end")))
 
-    spots = (contexts.join(several, "anchor")
-             .select("one.row", F.struct("anchor", "one.lo", "one.hi", "copies", (F.col("n") > crowd).alias("crowd")).alias("spot"))
-             .groupBy("row").agg(F.collect_list("spot").alias("spots")))
-    cut = texts.join(spots, "row").select("row", "body", "spots").mapInPandas(
-        _cut_contexts(length), "row long, anchor long, lo long, copies long, crowd boolean, context binary")
-    shards = (cut.filter("not crowd").repartition("anchor").sortWithinPartitions("anchor")
+    def cut(wanted) -> DataFrame:
+        spots = (contexts.join(several.filter(wanted), "anchor")
+                 .select("one.row", F.struct("anchor", "one.lo", "one.hi", "copies").alias("spot"))
+                 .groupBy("row").agg(F.collect_list("spot").alias("spots")))
+        return texts.select("row", "id", "body").join(spots, "row").select("row", "body", "spots").mapInPandas(
+            _cut_contexts(length), "row long, anchor long, lo long, copies long, context binary")
+
+    shards = (cut(F.col("n") <= crowd).repartition("anchor").sortWithinPartitions("anchor")
               .mapInPandas(_search_shards(length), "row long, start long, end long"))
-    windows = cut.filter("crowd").mapInPandas(_digest_windows(length), "row long, start long, copies long, w1 long, w2 long")
+    windows = cut(F.col("n") > crowd).mapInPandas(_digest_windows(length), "row long, start long, copies long, w1 long, w2 long")
     again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = (windows.filter("copies = 1").join(again, ["w1", "w2"], "left_semi")
                .select("row", "start", (F.col("start") + length).alias("end")))

@@ -66,31 +66,34 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, letters: int) -
 
 
 def _induce_wide(s, small, seeds, start, end) -> np.ndarray:
-    n, text, smaller = len(s), s.tolist(), small.tolist()
+    n = len(s)
+    # The letter in front of a suffix if that suffix is of the wanted kind, else -1; also for the filler -1.
+    front = np.r_[-1, s[:-1], -1]
+    kind = np.r_[False, small[:-1], False]
+    larger, smaller = np.where(kind, -1, front).tolist(), np.where(kind, front, -1).tolist()
     sa = [-1] * n
-    tail = end.tolist()
-    for i in seeds[::-1].tolist():
-        c = text[i]
+    tail, text = end.tolist(), s[seeds].tolist()
+    for i, c in zip(reversed(seeds.tolist()), reversed(text)):
         tail[c] -= 1
         sa[tail[c]] = i
     head = start.tolist()
-    c = text[-1]
-    if not smaller[-1]:
+    if not small[-1]:
+        c = int(s[-1])
         sa[head[c]] = n - 1
         head[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not smaller[j]:
-            c = text[j]
-            sa[head[c]] = j
-            head[c] += 1
+    # Both loops read places that they have filled before.
+    for i in sa:
+        c = larger[i]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
     tail = end.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and smaller[j]:
-            c = text[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
+    for i in reversed(sa):
+        c = smaller[i]
+        if c >= 0:
+            at = tail[c] = tail[c] - 1
+            sa[at] = i - 1
     return np.array(sa)
 
 

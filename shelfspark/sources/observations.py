@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,14 +17,31 @@ def _typed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seen_at", F.col("fetched_at").cast("timestamp_ntz"))
 
 
+# Bits of ``seq`` below the file's number: room for the bytes of one file.
+_FILE_BITS = 43
+_ROW_BITS = 33
+
+
+def _uri(name: str) -> Column:
+    """Local files are written file:/x or file:///x."""
+    return F.regexp_replace(name, "^file:/+", "file:/")
+
+
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
     """One row per line; blank lines vanish, a broken line keeps its text in ``_corrupt_record``.
 
-    ``seq`` is the arrival order (file, then line); it only needs to be ordered, not dense.
+    ``seq`` is the arrival order (file by path, then line), whatever split a task reads first;
+    it is ordered, not dense.  A split has fewer lines than bytes, so its first byte plus the
+    line's place in the task stays below the next split of the file.
     """
     rows = spark.read.schema(_with_corrupt()).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return _typed(rows).withColumn("seq", F.monotonically_increasing_id())
+    # One short row per file of a list that the driver holds for planning anyway, so it may be broadcast.
+    order = spark.createDataFrame(list(enumerate(sorted(rows.inputFiles()))), "_number LONG, _file STRING").withColumn("_file", _uri("_file"))
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    placed = rows.select("*", _uri("_metadata.file_path").alias("_file"), place.alias("_place"))
+    return _typed(placed.join(F.broadcast(order), "_file", "left").withColumn(
+        "seq", F.shiftleft("_number", _FILE_BITS) + F.col("_place")).drop("_file", "_number", "_place"))
 
 
 def stream_observations(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:

@@ -152,6 +152,21 @@ def test_observations_round_trip(spark, tmp_path):
     assert sorted(map(str, rows.select(*cols).collect())) == sorted(map(str, back.select(*cols).collect()))
 
 
+def test_seq_follows_files_and_lines(spark, tmp_path):
+    folder = tmp_path / "in dir"
+    folder.mkdir()
+    names = [f"e{i}" for i in range(40)]
+    write(folder / "part-0.json", [line("maximum", names[0], "1", 1, "2026-01-01T10:00:00Z")])
+    write(folder / "part-1.json", [line("maximum", n, "1", 1, "2026-01-01T10:00:00Z") for n in names[1:]])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = read_observations(spark, str(folder))
+        assert rows.rdd.getNumPartitions() > 2
+        assert [r.external_id for r in rows.orderBy("seq").collect()] == names
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_registry_locations_and_reports(spark, tmp_path):
     from shelfspark.sources.observations import read_locations, read_registry, write_reports
 

@@ -15,7 +15,8 @@ def spark():
     from shelfspark.streaming.changes import ROCKSDB
 
     session = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4")
-               .config("spark.driver.memory", "6g").config("spark.ui.enabled", "false")
+               .config("spark.driver.memory", "6g")
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")

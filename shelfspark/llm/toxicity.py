@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from shelfspark.llm.common import listing_texts
 
 SAMPLE_ROWS = 20_000
-VOCABULARY = 200_000
+VOCABULARY = 100_000
 PRIOR_WORDS = 1000.0
 FLOOR = 0.25
 DRIFT = 2.0
@@ -140,16 +140,17 @@ def _count_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-def _weights(counts: dict[str, tuple[int, int, int]], clean: int, toxic: int, every: int) -> dict[str, float]:
-    """Log-odds per unit under the Dirichlet prior, pulled towards 0 by one standard error; counts: clean, toxic, corpus."""
-    found = {}
-    for unit, (c, t, n) in counts.items():
-        prior = PRIOR_WORDS * n / every + FLOOR
-        odds = [math.log((y + prior) / (total + PRIOR_WORDS - y)) for y, total in ((t, toxic), (c, clean))]
-        delta, error = odds[0] - odds[1], math.sqrt(1 / (t + prior) + 1 / (c + prior))
-        if abs(delta) > error:
-            found[unit] = math.copysign(abs(delta) - error, delta)
-    return found
+def _weights(units: list[str], c: np.ndarray, t: np.ndarray, share: np.ndarray, clean: int, toxic: int) -> dict[str, float]:
+    """Log-odds per unit under the Dirichlet prior, pulled towards 0 by one standard error.
+
+    ``c`` and ``t`` count clean and toxic texts with the unit, ``share`` is its part of the corpus.
+    """
+    prior = PRIOR_WORDS * share + FLOOR
+    delta = np.log((t + prior) / (toxic + PRIOR_WORDS - t)) - np.log((c + prior) / (clean + PRIOR_WORDS - c))
+    error = np.sqrt(1 / (t + prior) + 1 / (c + prior))
+    sure = np.flatnonzero(np.abs(delta) > error)
+    pulled = np.copysign(np.abs(delta) - error, delta)
+    return {units[i]: float(pulled[i]) for i in sure}
 
 
 def fit_toxicity(
@@ -183,13 +184,18 @@ def fit_toxicity(
     counts = (labelled.select("body", "label", "part").mapInPandas(_count_classes, "unit string, label int, part int, n long")
               .groupBy("unit").agg(*in_class, F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("toxic")))
     counts = counts.filter("n >= 2").orderBy((F.col("unit") == "").desc(), F.desc("toxic"), F.desc("n"), "unit").limit(vocabulary + 1)
-    rows = {r[0]: (np.array(r[1:1 + FOLDS]), np.array(r[1 + FOLDS:1 + 2 * FOLDS])) for r in counts.collect()}
-    nothing = np.zeros(FOLDS, int)
-    clean_by, toxic_by = rows.pop("", (nothing, nothing))
+    rows = counts.select("unit", F.array(*[c for c in counts.columns if c not in ("unit", "n", "toxic")]).alias("by")).toLocalIterator()
+    units, by = [], []
+    for r in rows:
+        units.append(r.unit)
+        by.append(np.array(r.by, np.int32))
+    totals = dict(zip(units[:1], by[:1])).get("", np.zeros(2 * FOLDS, np.int32))  # the row of all pairs comes first
+    units, by = units[1:], np.array(by[1:], np.int32).reshape(-1, 2 * FOLDS)
+    clean_by, toxic_by = totals[:FOLDS], totals[FOLDS:]
     clean, toxic = int(clean_by.sum()), int(toxic_by.sum())
     if not clean or not toxic:
         return ToxicityModel({}, bias=5.0 if toxic else -5.0)
-    shared = observations.sparkSession.sparkContext.broadcast(frozenset(rows))
+    shared = observations.sparkSession.sparkContext.broadcast(frozenset(units))
 
     def count_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted, words, units = shared.value, Counter(), Counter()
@@ -210,23 +216,29 @@ def fit_toxicity(
         fold()
         yield pd.DataFrame({"unit": pd.Series(list(units), dtype=object), "n": list(units.values())})
 
-    corpus = dict(texts.select("body").mapInPandas(count_all, "unit string, n long").groupBy("unit").agg(F.sum("n")).collect())
-    every = corpus.get("", 1)
+    corpus = texts.select("body").mapInPandas(count_all, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    place, share, every = {u: i for i, u in enumerate(units)}, np.zeros(len(units)), 1
+    for r in corpus.toLocalIterator():
+        if r.unit:
+            share[place[r.unit]] = r.n
+        else:
+            every = r.n
+    share /= every
 
     def weights(parts) -> dict[str, float]:
-        return _weights({u: (int(c[parts].sum()), int(t[parts].sum()), corpus.get(u, 0)) for u, (c, t) in rows.items()},
-                        int(clean_by[parts].sum()), int(toxic_by[parts].sum()), every)
+        return _weights(units, by[:, parts].sum(axis=1), by[:, [FOLDS + p for p in parts]].sum(axis=1), share,
+                        int(clean_by[parts].sum()), int(toxic_by[parts].sum()))
 
     model = ToxicityModel(weights(list(range(FOLDS))))
     # Rate of the extreme-value law: the clean words' scores s satisfy E[exp(rate s)] = 1.
-    words = [(w, rows[u][0].sum() + FLOOR) for u, w in model.weights.items() if not u.endswith("*")]
+    words = [(w, by[place[u], :FOLDS].sum() + FLOOR) for u, w in model.weights.items() if not u.endswith("*")]
     weight = np.array([w - DRIFT for w, _ in words] + [-DRIFT])
-    share = np.array([n for _, n in words] + [max(clean - sum(n for _, n in words), 1)])
-    share = share / share.sum()
+    seen = np.array([n for _, n in words] + [max(clean - sum(n for _, n in words), 1)])
+    seen = seen / seen.sum()
     low, high = 1e-3, 20.0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if np.log(share @ np.exp(np.minimum(mid * weight, 600))) < 0 else (low, mid)
+        low, high = (mid, high) if np.log(seen @ np.exp(np.minimum(mid * weight, 600))) < 0 else (low, mid)
     model.rate = low
 
     others = observations.sparkSession.sparkContext.broadcast(

@@ -110,7 +110,7 @@ def mix_stores(
     observed, words = stores.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("store_words"), F.lit(0))).first()
     per_shard = max(64, math.isqrt(observed))
     stores = capped_shares(stores, "store_words", "weight", max_repeats)
-    stores = sainte_lague(stores.withColumns({"all": F.lit(0), "seats": F.lit(round(words / block_words)).cast("long")}),
+    stores = sainte_lague(stores.withColumns({"all": F.col("place") * 0, "seats": F.lit(round(words / block_words)).cast("long")}),
                           "all", "place", "target", "seats")
     stores = cut_lineage(stores.withColumn("shards", F.ceil(F.col("n") / per_shard))
                          .select("store_key", "place", "store_words", "target", "quota", "shards"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import connected_components, listing_texts
@@ -23,10 +24,13 @@ MIN_WORDS = 8
 # that sees only the words around, so a passage is cut alike wherever it stands.
 LONG_LINE = 32
 REACH = 6
+# Values in a narrow key: unrelated texts that share a phrase rarely agree on all of them.
+NARROW = 4
 _CACHE_WORDS = 1 << 19
 _WORDS_AT_ONCE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64((1 << 64) - 1)
+_FOUND = "row long, first_word int, last_word int, line int, whole boolean, content long"
 
 
 def bands_for(recall: float, similarity: float, rows: int = 1) -> int:
@@ -41,42 +45,98 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def split_paragraphs(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each paragraph over word digests and their (ascending) line numbers."""
+    """Start and end of each piece over word digests and their (ascending) line numbers.
+
+    Of equal digests within reach only the first cuts, so a repeated pattern is not shredded.
+    """
     size = np.bincount(line - line[0])[line - line[0]] if len(line) else line
     pair = np.full(len(words), _TOP)
     inside = (line[1:] == line[:-1]) & (size[1:] > LONG_LINE)
     pair[1:][inside] = _mix(words[:-1] * _ODD + words[1:])[inside]
-    around = np.lib.stride_tricks.sliding_window_view(np.pad(pair, REACH, constant_values=_TOP), 2 * REACH + 1).min(axis=1)
-    cut = np.r_[True, (line[1:] != line[:-1])] | ((pair == around) & (pair != _TOP))
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(pair, REACH, constant_values=_TOP), 2 * REACH + 1)
+    least = (pair == around.min(axis=1)) & (pair < around[:, :REACH].min(axis=1))
+    cut = np.r_[True, (line[1:] != line[:-1])] | (least & (pair != _TOP))
     start = np.flatnonzero(cut)
     return start, np.r_[start[1:], len(words)]
 
 
-def _paragraph_rows(bands: int, min_words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
+def paragraph_units(words: np.ndarray, line: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, start of the line and whether it is the whole line, of everything that is compared.
+
+    Every line; of long lines also each piece of ``min_words`` or more, and each shorter piece
+    together with the next one (the last with the one before).
+    """
+    top = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    bottom = np.r_[top[1:], len(words)]
+    start, end = split_paragraphs(words, line)
+    of = np.searchsorted(top, start, "right") - 1
+    short, last = end - start < min_words, end == bottom[of]
+    part = (start != top[of]) | ~last
+    keep, left, right = np.flatnonzero(part & ~short), np.flatnonzero(part & short & last), np.flatnonzero(part & short & ~last)
+    first = np.concatenate([start[keep], start[left - 1], start[right]])
+    after = np.concatenate([end[keep], end[left], end[np.minimum(right + 1, len(end) - 1)]])
+    owner = np.concatenate([of[keep], of[left], of[right]])
+    inner = (first != top[owner]) | (after != bottom[owner])
+    first, after, owner = first[inner], after[inner], owner[inner]
+    unit = np.unique(np.stack([first, after, owner], axis=1), axis=0).reshape(-1, 3).astype(np.int64)
+    whole = np.r_[np.ones(len(top), bool), np.zeros(len(unit), bool)]
+    return np.r_[top, unit[:, 0]], np.r_[bottom, unit[:, 1]], np.r_[top, top[unit[:, 2]]], whole
+
+
+def _contents(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A digest of each stretch of words."""
+    size = end - start
+    offset = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(offset, size)
+    return _mix(np.add.reduceat(_mix(words[np.repeat(start, size) + place] + place.astype(np.uint64) * _ODD), offset)).view(np.int64)
+
 
-        def close(words, line, owner, first):
-            words, line = np.concatenate(words), np.concatenate(line)
-            if len(words) < min_words:
+def _band_keys(words: np.ndarray, start: np.ndarray, end: np.ndarray, wide: int, narrow: int) -> list[np.ndarray]:
+    """Keys of stretches of at least SHINGLE words: ``wide`` odd ones of one MinHash value, ``narrow`` even ones of NARROW values."""
+    shingle = np.zeros(len(words), np.uint64)
+    for k in range(SHINGLE):
+        shingle[:len(words) - k] = shingle[:len(words) - k] * _ODD + words[k:]
+    spans = np.stack([start, end - SHINGLE + 1], axis=1).ravel()
+
+    def least(value):
+        return np.minimum.reduceat(np.r_[value, _TOP], spans)[::2]
+
+    keys = [_mix(least(_mix(shingle ^ _mix(np.array([b + 1], np.uint64)))) + np.uint64(b)) | np.uint64(1) for b in range(wide)]
+    base = _mix(shingle)
+    turns = _mix(np.arange(1, 2 * NARROW * narrow + 1, dtype=np.uint64) * _ODD).reshape(-1, 2)
+    for b in range(narrow):
+        key = np.full(len(start), b + 1, np.uint64)
+        for times, plus in turns[b * NARROW:(b + 1) * NARROW]:
+            key = _mix(key * _ODD + least(base * (times | np.uint64(1)) + plus))
+        keys.append(key & ~np.uint64(1))
+    return keys
+
+
+def _paragraph_rows(min_words: int, wide: int = 0, narrow: int = 0):
+    """Rows of ``_FOUND``, or the (content, key) rows if there are keys to make."""
+    def close(words, line, owner, first):
+        words, line = np.concatenate(words), np.concatenate(line)
+        start, end, top, whole = paragraph_units(words, line, min_words)
+        if wide or narrow:
+            long = end - start >= SHINGLE
+            start, end, whole = start[long], end[long], whole[long]
+            if not len(start):
                 return None
-            start, end = split_paragraphs(words, line)
-            place = (np.arange(len(words)) - np.repeat(start, end - start)).astype(np.uint64)
-            content = np.add.reduceat(_mix(words + place * _ODD), start)
-            shingle = np.zeros(len(words), np.uint64)
-            for k in range(SHINGLE):
-                shingle[:len(words) - k] = shingle[:len(words) - k] * _ODD + words[k:]
-            whole = np.repeat(end, end - start) - np.arange(len(words)) >= SHINGLE
-            columns = {}
-            for b in range(bands):
-                value = np.where(whole, _mix(shingle ^ _mix(np.array([b + 1], np.uint64))), _TOP)
-                columns[f"b{b}"] = np.minimum.reduceat(value, start)
-            good = end - start >= min_words
-            bounds, rows = np.array(first), np.array(owner)
-            at = np.searchsorted(bounds, start[good], "right") - 1
-            return pd.DataFrame({"row": rows[at], "first_word": (start[good] - bounds[at]).astype("int32"),
-                                 "last_word": (end[good] - 1 - bounds[at]).astype("int32"), "content": _mix(content[good]).view(np.int64)}
-                                | {c: v[good].view(np.int64) for c, v in columns.items()})
+            content = _contents(words, start, end)
+            one = np.sort(np.unique(content, return_index=True)[1])  # in text order, so gaps between stretches are short
+            content, start, end, whole = content[one], start[one], end[one], whole[one]
+            # Long lines meet in narrow buckets only: a check of thousands of words is not spent on a chance partner.
+            brief = ~whole | (end - start <= LONG_LINE)
+            found = [(content[brief], k[brief]) if b < wide else (content, k) for b, k in enumerate(_band_keys(words, start, end, wide, narrow))]
+            return pd.DataFrame({"content": np.concatenate([c for c, _ in found]), "key": np.concatenate([k for _, k in found]).view(np.int64)})
+        bounds, rows = np.array(first), np.array(owner)
+        at = np.searchsorted(bounds, start, "right") - 1
+        return pd.DataFrame({"row": rows[at], "first_word": (start - bounds[at]).astype("int32"),
+                             "last_word": (end - 1 - bounds[at]).astype("int32"), "line": (top - bounds[at]).astype("int32"),
+                             "whole": whole, "content": _contents(words, start, end)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: dict[str, int] = {}
 
         for batch in batches:
             words, line, owner, first, held, lines = [], [], [], [], 0, 0
@@ -109,6 +169,25 @@ def _paragraph_rows(bands: int, min_words: int):
     return run
 
 
+def _edits(a: list[str], b: list[str]) -> int:
+    """Fewest word edits that turn ``a`` into ``b`` (bit-parallel)."""
+    mask: dict[str, int] = {}
+    for i, w in enumerate(a):
+        mask[w] = mask.get(w, 0) | 1 << i
+    full, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    plus, minus = full, 0
+    for w in b:
+        eq = mask.get(w, 0)
+        xv = eq | minus
+        xh = ((eq & plus) + plus ^ plus) | eq
+        ph = minus | ~(xh | plus) & full
+        mh = plus & xh
+        score += bool(ph & top) - bool(mh & top)
+        ph, mh = (ph << 1 | 1) & full, mh << 1 & full
+        plus, minus = mh | ~(xv | ph) & full, ph & xv
+    return score
+
+
 def similar(a: list[str], b: list[str], similarity: float = SIMILARITY) -> bool:
     """Exact check: Jaccard of five-word shingles, or words kept by the best edit script, of at least ``similarity``."""
     x, y = ({tuple(w[i:i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} for w in (a, b))
@@ -116,16 +195,10 @@ def similar(a: list[str], b: list[str], similarity: float = SIMILARITY) -> bool:
         return True
     longest = max(len(a), len(b))
     limit = int((1 - similarity) * longest + 1e-9)
-    if abs(len(a) - len(b)) > limit:
+    # No edit script keeps more words than the two have in common in any order.
+    if abs(len(a) - len(b)) > limit or longest - (Counter(a) & Counter(b)).total() > limit:
         return False
-    row = list(range(len(b) + 1))
-    for i, v in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, w in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (v != w))
-        if min(row) > limit:
-            return False
-    return row[-1] <= limit
+    return _edits(a, b) <= limit
 
 
 def _cut_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,20 +221,40 @@ def _verified(similarity: float):
     return run
 
 
+def _checked(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float, folder: str) -> DataFrame:
+    """The (a, b) of ``pairs`` whose words are similar; stored in ``folder``."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+    spots = (distinct.join(needed, "content").select("one.row", F.struct("content", "one.first_word", "one.last_word").alias("spot"))
+             .groupBy("row").agg(F.collect_list("spot").alias("spots")))
+    texts.join(spots, "row").select("body", "spots").mapInPandas(_cut_words, "content long, words string").write.parquet(f"{folder}-words")
+    words = pairs.sparkSession.read.parquet(f"{folder}-words")
+    (pairs.join(words.select(F.col("content").alias("a"), F.col("words").alias("words_a")), "a")
+     .join(words.select(F.col("content").alias("b"), F.col("words").alias("words_b")), "b")
+     .select("a", "b", "words_a", "words_b").mapInPandas(_verified(similarity), "a long, b long").write.parquet(f"{folder}-links"))
+    return pairs.sparkSession.read.parquet(f"{folder}-links")
+
+
+def _in_order(left, right) -> tuple:
+    return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
+
+
 def repeated_paragraphs(observations: DataFrame, key: str = "observation_id", text: str = "description",
                         similarity: float = SIMILARITY, recall: float = RECALL, min_words: int = MIN_WORDS) -> DataFrame:
     """Paragraphs that occur more than once in all texts, exactly or nearly, and which of them to remove.
 
-    A paragraph is a line; lines over ``LONG_LINE`` words are cut further at places that depend
-    only on the words around, so a passage inside another paragraph is met too.  Paragraphs
-    under ``min_words`` words are too short to tell a copy from a common phrase and are left
-    alone.  Equal ones are collapsed first.  The rest get MinHash values of five-word shingles;
-    as many bands as ``recall`` at ``similarity`` needs.  In every band bucket all paragraphs
-    are joined with two of them, the smallest and the largest digest: a bucket of any size
-    costs two checks per paragraph.  A pair is linked if its exact Jaccard similarity, or the
-    share of words kept by the best edit script, reaches ``similarity``; linked paragraphs form
-    components.  So two similar paragraphs fall apart only if no bucket they share links them
-    through its two representatives.
+    A paragraph is a line of any length.  Lines over ``LONG_LINE`` words are compared as a whole,
+    and also in pieces cut at places that depend only on the words around, so a passage inside
+    another paragraph is met too; a piece under ``min_words`` words is taken together with a
+    neighbour.  Pieces of a line that is removed as a whole do not count.
+
+    Equal paragraphs are collapsed first.  The rest of five words or more get MinHash keys of
+    five-word shingles: keys of ``NARROW`` values, as many as ``recall`` at ``similarity`` needs,
+    and keys of one value, as many as that needs.  In every bucket all paragraphs are first
+    checked against its smallest and largest digest.  Then, in the narrow buckets, every two
+    paragraphs that these links do not connect yet are checked, but for two of the bucket's
+    largest component.  So similar paragraphs that share a narrow bucket always meet in a component.
+    A pair is linked if its exact Jaccard similarity, or the share of words kept by the best
+    edit script, reaches ``similarity``.
 
     Result, one row per repeated paragraph occurrence: ``key``, ``first_word``, ``last_word``
     (0-based, in the text's words), ``cluster``, ``copies`` (occurrences in the cluster) and
@@ -170,44 +263,62 @@ def repeated_paragraphs(observations: DataFrame, key: str = "observation_id", te
     ignored; an empty table gives no rows.
     """
     spark = observations.sparkSession
-    bands = bands_for(recall, similarity)
-    names = [f"b{b}" for b in range(bands)]
     texts = listing_texts(observations, key, text).select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(text).alias("body"))
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/paragraphs-{uuid.uuid4().hex}"
-    (texts.select("row", "body").mapInPandas(_paragraph_rows(bands, min_words), "row long, first_word int, last_word int, content long, "
-                                             + ", ".join(f"{n} long" for n in names)).write.parquet(f"{folder}/all"))
-    found = spark.read.parquet(f"{folder}/all")
-
-    (found.groupBy("content", *names)
-     .agg(F.count("*").alias("copies"), F.min(F.struct("row", "first_word", "last_word")).alias("one")).write.parquet(f"{folder}/distinct"))
-    distinct = spark.read.parquet(f"{folder}/distinct")
-    keys = distinct.select("content", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(n).alias("value")) for b, n in enumerate(names)])).alias("k"))
-    keys = keys.select("content", "k.band", "k.value")
-    ends = keys.groupBy("band", "value").agg(F.min("content").alias("least"), F.max("content").alias("most")).filter("least <> most")
-    pairs = keys.join(ends, ["band", "value"]).select(F.col("content").alias("a"), F.explode(F.array("least", "most")).alias("b"))
-    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs.write.parquet(f"{folder}/pairs")
-    pairs = spark.read.parquet(f"{folder}/pairs")
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    spots = (distinct.join(needed, "content").select("one.row", F.struct("content", "one.first_word", "one.last_word").alias("spot"))
-             .groupBy("row").agg(F.collect_list("spot").alias("spots")))
-    words = texts.join(spots, "row").select("body", "spots").mapInPandas(_cut_words, "content long, words string")
-    words.write.parquet(f"{folder}/words")
-    words = spark.read.parquet(f"{folder}/words")
-    checked = (pairs.join(words.select(F.col("content").alias("a"), F.col("words").alias("words_a")), "a")
-               .join(words.select(F.col("content").alias("b"), F.col("words").alias("words_b")), "b")
-               .select("a", "b", "words_a", "words_b").mapInPandas(_verified(similarity), "a long, b long"))
-    groups = connected_components(checked, "a", "b")
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    bodies = texts.select("row", "body")
+    found = stored(bodies.mapInPandas(_paragraph_rows(min_words), _FOUND), "all")
+    distinct = stored(found.groupBy("content").agg(
+        F.count("*").alias("copies"), F.min(F.struct("row", "first_word", "last_word")).alias("one")), "distinct")
+
+    # One narrow shuffle brings the keys together; what is alone in its bucket goes at once.
+    keys = bodies.mapInPandas(_paragraph_rows(min_words, bands_for(recall, similarity), bands_for(recall, similarity, NARROW)),
+                              "content long, key long").repartition("key").dropDuplicates(["key", "content"])
+    bucket = Window.partitionBy("key").orderBy("content")
+    keys = keys.select("key", "content", (F.lag("content").over(bucket).isNotNull() | F.lead("content").over(bucket).isNotNull()).alias("_met"))
+    keys = stored(keys.filter("_met").drop("_met"), "keys")
+
+    ends = keys.groupBy("key").agg(F.min("content").alias("least"), F.max("content").alias("most"))
+    pairs = keys.join(ends, "key").select("content", F.explode(F.array("least", "most")).alias("end")).filter("content <> end")
+    pairs = stored(pairs.select(*_in_order("content", "end")).distinct(), "pairs")
+    linked = _checked(pairs, distinct, texts, similarity, f"{folder}/ends")
+
+    groups = connected_components(linked, "a", "b").withColumnRenamed("node", "content")
+    narrow = stored(keys.filter("key & 1 = 0").join(groups, "content", "left").select(
+        "key", "content", F.coalesce("component", "content").alias("component")), "narrow")
+    sizes = narrow.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = (sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("components"))
+               .filter("components > 1").select("key", F.col("m.component").alias("largest")))
+    loose = narrow.join(largest, "key").filter("component <> largest").select("key", F.col("content").alias("a"), F.col("component").alias("a_component"))
+    across = (loose.join(narrow, "key").filter("component <> a_component").select(*_in_order("a", "content")).distinct()
+              .join(pairs, ["a", "b"], "left_anti"))
+    more = _checked(stored(across, "across"), distinct, texts, similarity, f"{folder}/across")
+    groups = connected_components(linked.unionAll(more), "a", "b")
 
     clusters = (distinct.join(groups.withColumnRenamed("node", "content"), "content", "left")
-                .select("content", "copies", "one", F.coalesce("component", "content").alias("cluster")))
-    totals = clusters.groupBy("cluster").agg(F.sum("copies").alias("copies"), F.min("one").alias("first")).filter("copies > 1")
-    members = clusters.select("content", "cluster").join(totals, "cluster")
-    marked = found.select("row", "first_word", "last_word", "content").join(members, "content").select(
-        "row", "first_word", "last_word", "cluster", "copies",
-        ((F.col("row") != F.col("first.row")) | (F.col("first_word") != F.col("first.first_word"))).alias("removed"))
+                .select("content", "copies", F.coalesce("component", "content").alias("cluster")))
+    many = clusters.groupBy("cluster").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("cluster")
+    marked = found.join(clusters.select("content", "cluster").join(many, "cluster"), "content").drop("content")
+    # Overlapping stretches of one line in one cluster are one occurrence, not copies of each other.
+    place = Window.partitionBy("row", "line", "cluster").orderBy("first_word", F.desc("last_word"))
+    before = F.max("last_word").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("_new", F.coalesce(F.col("first_word") > before, F.lit(True)).cast("int"))
+    marked = stored(marked.withColumn("_stretch", F.sum("_new").over(place)).groupBy("row", "line", "cluster", "_stretch").agg(
+        F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.max("whole").alias("whole")).drop("_stretch"), "marked")
+
+    first = F.min(F.struct("row", "first_word")).alias("first")
+    copied = (F.col("row") != F.col("first.row")) | (F.col("first_word") != F.col("first.first_word"))
+    lines = marked.filter("whole")
+    gone = (lines.filter(F.col("last_word") - F.col("first_word") >= LONG_LINE)
+            .join(lines.groupBy("cluster").agg(first), "cluster").filter(copied).select("row", "line", F.lit(True).alias("_gone")))
+    marked = marked.join(gone, ["row", "line"], "left").filter("whole or _gone is null")
+    totals = marked.groupBy("cluster").agg(F.count("*").alias("copies"), first).filter("copies > 1")
+    marked = marked.join(totals, "cluster").select("row", "first_word", "last_word", "cluster", "copies", copied.alias("removed"))
     return (texts.select("row", F.col("id").alias(key)).join(marked, "row")
             .select(key, "first_word", "last_word", "cluster", "copies", "removed"))

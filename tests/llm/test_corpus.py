@@ -252,6 +252,54 @@ def test_paragraph_checks():
     assert not paragraphs.similar(words, words[:10] + [f"y{i}" for i in range(10)])
 
 
+def test_near_copies_that_share_a_phrase_are_linked(spark):
+    rng = random.Random(3)
+    phrase = "all rights reserved under the open terms of this licence"
+    rows = []
+    for n in range(300):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(20)]
+        for line in (own, own[:-1] + ["edited"]):
+            rows.append((len(rows), "s", " ".join(line[:10]) + " " + phrase + " " + " ".join(line[10:])))
+    got = defaultdict(set)
+    for r in paragraphs.repeated_paragraphs(observations(spark, rows)).collect():
+        got[r.cluster].add(r.observation_id)
+    together = sum(any({2 * n, 2 * n + 1} <= ids for ids in got.values()) for n in range(300))
+    assert together >= 297 and max(map(len, got.values())) < 600
+
+
+def test_removed_word_ranges(spark):
+    rng = random.Random(4)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    long, near, short, pattern, alone = words(60), words(45), words(3), ["buy", "now"] * 30, words(34)
+    lines = {0: [long, words(9)], 1: [words(9), long], 2: [near], 3: [near[:22] + ["edited"] + near[23:]],
+             4: [short, words(12)], 5: [words(12), short], 6: [pattern], 7: [pattern], 8: [alone], 9: [words(20) + long + words(20)]}
+    rows = [(i, "s", "\n".join(" ".join(w) for w in own)) for i, own in lines.items()]
+    got = paragraphs.repeated_paragraphs(observations(spark, rows).repartition(1).sortWithinPartitions("observation_id")).collect()
+    removed = defaultdict(set)
+    for r in got:
+        if r.removed:
+            removed[r.observation_id] |= set(range(r.first_word, r.last_word + 1))
+    assert removed[1] == set(range(9, 69)) and removed[3] == set(range(45)) and removed[5] == {12, 13, 14} and removed[7] == set(range(60))
+    assert not {0, 2, 4, 6, 8} & set(removed) and len(removed[9]) >= 30 and removed[9] <= set(range(20, 80))
+    assert 8 not in {r.observation_id for r in got}
+    assert Counter(r.cluster for r in got if not r.removed) == Counter({r.cluster for r in got})
+
+
+def test_word_edits_against_dynamic_programming():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(1, 12))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, v in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, w in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (v != w))
+        assert paragraphs._edits(a, b) == row[-1]
+
+
 # -- benchmark passages
 
 def test_benchmark_passages(spark, edge, nothing):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,7 +17,6 @@ from pyspark.sql import types as T
 from shelfspark.llm.common import listing_texts
 
 SAMPLE_ROWS = 20_000
-VOCABULARY = 100_000
 PRIOR_WORDS = 1000.0
 FLOOR = 0.25
 DRIFT = 2.0
@@ -160,7 +160,6 @@ def fit_toxicity(
     text: str = "description",
     label: str = "toxic",
     sample_rows: int = SAMPLE_ROWS,
-    vocabulary: int = VOCABULARY,
 ) -> ToxicityModel:
     """Fit on at most ``sample_rows`` labelled observations (by hash order) and all texts' word counts.
 
@@ -168,8 +167,8 @@ def fit_toxicity(
     Dirichlet prior (``PRIOR_WORDS`` words spread like the texts of the whole corpus, plus
     ``FLOOR`` for each word), pulled towards 0 by one standard error.  ``DRIFT`` is taken off
     every word, so chance sums fall.  The extreme-value law and the calibration are fitted on
-    sample texts scored by the weights of the other ``FOLDS`` - 1 folds.  At most
-    ``vocabulary`` words are weighed.  Labels of an id seen twice count as toxic if one is;
+    sample texts scored by the weights of the other ``FOLDS`` - 1 folds, on all their passages.
+    Every unit in at least two sample texts is weighed, so ``sample_rows`` alone bounds the model.  Labels of an id seen twice count as toxic if one is;
     null ids or labels are left out.
     """
     known = (labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -182,15 +181,15 @@ def fit_toxicity(
     in_class = [F.sum(F.when((F.col("label") == y) & (F.col("part") == p), F.col("n")).otherwise(0)).alias(f"n{y}{p}")
                 for y in (0, 1) for p in range(FOLDS)]
     counts = (labelled.select("body", "label", "part").mapInPandas(_count_classes, "unit string, label int, part int, n long")
-              .groupBy("unit").agg(*in_class, F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("toxic")))
-    counts = counts.filter("n >= 2").orderBy((F.col("unit") == "").desc(), F.desc("toxic"), F.desc("n"), "unit").limit(vocabulary + 1)
-    rows = counts.select("unit", F.array(*[c for c in counts.columns if c not in ("unit", "n", "toxic")]).alias("by")).toLocalIterator()
-    units, by = [], []
-    for r in rows:
-        units.append(r.unit)
-        by.append(np.array(r.by, np.int32))
-    totals = dict(zip(units[:1], by[:1])).get("", np.zeros(2 * FOLDS, np.int32))  # the row of all pairs comes first
-    units, by = units[1:], np.array(by[1:], np.int32).reshape(-1, 2 * FOLDS)
+              .groupBy("unit").agg(*in_class, F.sum("n").alias("n")))
+    units, flat, totals = [], array("q"), np.zeros(2 * FOLDS, np.int64)
+    for r in counts.filter("n >= 2").drop("n").toLocalIterator():
+        if r.unit:
+            units.append(r.unit)
+            flat.extend(r[1:])
+        else:
+            totals = np.array(r[1:], np.int64)  # the row of all pairs
+    by = np.array(flat, np.int64).reshape(-1, 2 * FOLDS)
     clean_by, toxic_by = totals[:FOLDS], totals[FOLDS:]
     clean, toxic = int(clean_by.sum()), int(toxic_by.sum())
     if not clean or not toxic:
@@ -244,24 +243,26 @@ def fit_toxicity(
     others = observations.sparkSession.sparkContext.broadcast(
         [ToxicityModel(weights([q for q in range(FOLDS) if q != p])) for p in range(FOLDS)])
 
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        caches: list[dict[str, float]] = [{} for _ in range(FOLDS)]
-        for batch in batches:
-            rows = []
-            for body, y, part in zip(batch["body"], batch["label"], batch["part"]):
-                n, found = others.value[part].segments(body, caches[part])
-                rows.append((int(y), n, sorted((w for _, _, w in found), reverse=True)[:64]))
-            yield pd.DataFrame({"label": [r[0] for r in rows], "words": [r[1] for r in rows],
-                                "weights": pd.Series([r[2] for r in rows], dtype=object)})
-
-    rest = (labelled.select("body", "label", "part")
-            .mapInPandas(held, "label int, words int, weights array<double>").collect())
+    def held(law: ToxicityModel | None):
+        """Words and best passage of every sample text, or by a fitted law its evidence."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            caches: list[dict[str, float]] = [{} for _ in range(FOLDS)]
+            for batch in batches:
+                rows = []
+                for body, y, part in zip(batch["body"], batch["label"], batch["part"]):
+                    n, found = others.value[part].segments(body, caches[part])
+                    rows.append((int(y), *(law.evidence(n, found) if law else (float(n), max((w for _, _, w in found), default=0.0)))))
+                yield pd.DataFrame(rows, columns=["label", "first", "second"])
+
+        return labelled.select("body", "label", "part").mapInPandas(run, "label int, first double, second double").collect()
+
     # Gumbel fit by moments over the best passages of clean texts.
-    best = np.array([model.rate * r.weights[0] - math.log(max(r.words, 1)) for r in rest if r.label == 0 and r.weights])
+    best = np.array([model.rate * r.second - math.log(max(r.first, 1)) for r in held(None) if r.label == 0 and r.second > 0])
     if len(best) >= 10:
         model.scale = max(float(best.std()) * math.sqrt(6) / math.pi, 0.1)
         model.location = float(best.mean()) - 0.5772156649 * model.scale
-    seen = np.array([(1.0, *model.evidence(r.words, [(0, 0, w) for w in r.weights])) for r in rest]).reshape(-1, 3)
+    rest = held(ToxicityModel({}, model.rate, model.location, model.scale))
+    seen = np.array([(1.0, r.first, r.second) for r in rest]).reshape(-1, 3)
     y = np.array([r.label for r in rest], float)
     if len(y) and 0 < y.sum() < len(y):
         fitted = _fit_logistic(seen, y, ridge=0.01)

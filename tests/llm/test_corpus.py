@@ -446,6 +446,15 @@ def test_held_out_accuracy(spark, query, column, modulus, rest, least):
     assert sum(r.predicted == labels[r.doc_id] for r in held) >= least * len(held)
 
 
+def test_toxicity_weighs_every_sample_word_and_passage(spark):
+    # More words of toxic texts than any cap had room for, and one word that only clean texts hold.
+    words = [f"{n:06d}" for n in range(110_000)]
+    rows = [(i, "s", " ".join(words)) for i in range(8)] + [(100 + i, "s", " ".join(["calm"] * 3)) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i, _, _ in rows], LABELS)
+    model = toxicity.fit_toxicity(observations(spark, rows), labels)
+    assert model.weights["calm"] < 0 and set(words) <= set(model.weights)
+
+
 # -- pipeline
 
 def test_pipeline(spark):

@@ -164,6 +164,13 @@ def _(c):
     return skipped
 
 
+# The query above keeps its SQL of one count; this one returns the kept rows.
+@entry("dd3_drop_services_kept", """SELECT doc_id, text AS title FROM documents WHERE NOT coalesce(regexp_matches(lower(text), '\\b(consultation|consulting|service\\s+booking)\\b'), false)""")
+def _(c):
+    goods, skipped = match.drop_services(c.table("documents").withColumnRenamed("text", "title"))
+    return goods.select("doc_id", "title")
+
+
 _MT1 = f"""WITH {RAW_SQL}, pr AS (SELECT *, lower(title) AS nt FROM fx_product),
   t1 AS (SELECT ean, min(product_id) AS id FROM pr WHERE ean IS NOT NULL GROUP BY 1),
   t2 AS (SELECT mpn, brand, min(product_id) AS id FROM pr WHERE mpn IS NOT NULL GROUP BY 1, 2),

@@ -275,3 +275,16 @@ def test_reconcile_is_strict(spark):
     got = {r.id: (r.marked, r.stock_status, r.quantity) for r in upsert.reconcile_missing(offers, "s", at).collect()}
     assert got == {1: (False, "IN_STOCK", 3), 2: (True, "OUT_OF_STOCK", None), 3: (False, "IN_STOCK", 3)}
     assert not any(r.marked for r in upsert.reconcile_missing(offers, "s", at, failed=1).collect())
+
+
+@pytest.mark.parametrize("name, table", [("src5_explode_xml_offers_whole", "part"), ("src6_explode_csv_whole", "part"), ("dd3_drop_services_kept", "documents")])
+def test_whole_tables_are_read_and_returned(spark, name, table):
+    import __spark_entry__
+    from oracle import compare, connect
+
+    folder = "/root/testdata/sf0.001"
+    rows, problem, _ = compare(spark, connect(folder), folder, __spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name])
+    kept = spark.read.parquet(f"{folder}/{table}.parquet").count()
+    if table == "documents":
+        kept -= __spark_entry__.queries()["dd3_drop_services"](spark, folder).first()[0]
+    assert problem is None and rows == kept

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.session import cut_lineage, ship_package
+from shelfspark.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
-__all__ = ["connected_components", "cut_lineage", "global_rank", "listing_texts", "ship_package"]
+__all__ = ["connected_components", "cut_lineage", "global_rank", "listing_texts", "ship_package", "stored"]
 
 # monotonically_increasing_id() holds the partition above this many bits and the row in it below.
 _ROW_BITS = 33
@@ -20,6 +21,18 @@ def listing_texts(observations: DataFrame, key: str, text: str, *more: str) -> D
     return observations.select(key, *more, F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back.
+
+    Unlike a checkpoint it is column-wise and its size is known to the planner.  Whoever owns
+    the folder deletes it after the application, as with checkpoints.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def global_rank(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """Add ``name``: the 0-based position of each row in the whole table under ``order``.
 

@@ -11,6 +11,7 @@ from shelfspark.llm.decontaminate import benchmark_passages
 from shelfspark.llm.exact import deduplicate_texts
 from shelfspark.llm.mixing import mix_stores
 from shelfspark.llm.paragraphs import repeated_paragraphs
+from shelfspark.llm.phrases import mine_phrases
 from shelfspark.llm.personal_data import KINDS, find_personal_data
 from shelfspark.llm.quality import score_quality
 from shelfspark.llm.repeats import remove_repeats
@@ -104,6 +105,11 @@ def op10_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("observation_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.coalesce("lang", F.lit("und")).alias("store_slug"), F.col("text").alias("description"))
+    return mine_phrases(docs).withColumnRenamed("store_slug", "lang")
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_prefix_targets": op2_prefix_targets,
@@ -115,6 +121,7 @@ QUERIES = {
     "op8_repeated_paragraphs": op8_repeated_paragraphs,
     "op9_benchmark_passages": op9_benchmark_passages,
     "op10_repeated_bytes": op10_repeated_bytes,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 
 SQL = {

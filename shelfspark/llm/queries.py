@@ -11,10 +11,12 @@ from shelfspark.llm.decontaminate import benchmark_passages
 from shelfspark.llm.exact import deduplicate_texts
 from shelfspark.llm.mixing import mix_stores
 from shelfspark.llm.paragraphs import repeated_paragraphs
-from shelfspark.llm.phrases import mine_phrases
 from shelfspark.llm.personal_data import KINDS, find_personal_data
+from shelfspark.llm.phrases import mine_phrases
+from shelfspark.llm.postings import near_listing_groups
 from shelfspark.llm.quality import score_quality
 from shelfspark.llm.repeats import remove_repeats
+from shelfspark.llm.runs import repeated_runs
 from shelfspark.llm.simhash import near_duplicate_texts
 from shelfspark.llm.toxicity import score_toxicity
 
@@ -110,6 +112,32 @@ def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return mine_phrases(docs).withColumnRenamed("store_slug", "lang")
 
 
+def with_periods(documents: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by digest of its id, repeats a stretch of its own words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = documents.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.filter(
+        F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).alias("words"))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+    return words.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_periods(table(spark, folder, "documents"))
+    out = repeated_runs(docs.select(F.col("doc_id").alias("observation_id"), F.col("text").alias("description")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.select(F.col("observation_id").alias("doc_id"), "n_runs", "start", "length", "period", "exponent_milli",
+                      F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_minhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    out = near_listing_groups(observations(table(spark, folder, "documents")))
+    return out.select(F.col("observation_id").alias("doc_id"), "n_shingles", F.col("group").alias("component_id"), "kept")
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_prefix_targets": op2_prefix_targets,
@@ -122,6 +150,8 @@ QUERIES = {
     "op9_benchmark_passages": op9_benchmark_passages,
     "op10_repeated_bytes": op10_repeated_bytes,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_minhash_groups": op13_minhash_groups,
 }
 
 SQL = {

@@ -23,6 +23,7 @@ HUB_ROUNDS = 2
 BLOCK = 1024
 _CHUNK = 1 << 19
 _STEP = 1 << 15
+_TEXTS = 256
 _RNG = np.random.default_rng(13)
 _FLIP = _RNG.integers(0, 1 << 63, COORDINATES * 4, dtype=np.uint64)
 _TIMES = _RNG.integers(0, 1 << 63, COORDINATES * 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,21 +116,13 @@ def _sign(coordinates: int):
     return run
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good, held = [], {}
-            for x, y in zip(batch["x"], batch["y"]):
-                if len(held) > 64:
-                    held.clear()
-                for t in (x, y):
-                    if t not in held:
-                        held[t] = shingle_sets([t.encode()])[0]
-                both = len(np.intersect1d(held[x], held[y], assume_unique=True))
-                good.append(100 * both >= percent * (len(held[x]) + len(held[y]) - both))
-            yield batch.loc[np.array(good, bool), ["a", "b"]]
-
-    return run
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _TEXTS):
+            part = batch.slice(at, _TEXTS)
+            shingles, sizes = shingle_sets([t.as_py().encode() for t in part.column(1)])
+            sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(shingles.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), sets], ["name", "shingles"])
 
 
 def _compare(matches: int, percent: int):
@@ -223,8 +216,9 @@ def near_listing_groups(observations: DataFrame, key: str = "observation_id", te
     lists = stored(posting_lists(sets, matches), "postings")
     # Texts are named by digest, not by row number: the same whenever and wherever they are read again.
     posted = sets.join(lists.select("name").distinct(), "name", "left_semi")
-    bodies = stored(texts.join(posted.select("t.t1", "t.t2"), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
-                    .join(posted.select("t.t1", "t.t2", "name"), ["t1", "t2"]).select("name", "text"), "bodies")
+    bodies = (texts.join(posted.select("t.t1", "t.t2"), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+              .join(posted.select("t.t1", "t.t2", "name"), ["t1", "t2"]).select("name", "text"))
+    full = stored(bodies.mapInArrow(_full_sets, "name binary, shingles array<long>"), "shingles")
     signs = sets.select("name", "size", "signature")
 
     def side(columns: DataFrame, name: str) -> DataFrame:
@@ -239,9 +233,10 @@ def near_listing_groups(observations: DataFrame, key: str = "observation_id", te
         return both.filter(same >= matches).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bodies.select(F.col("name").alias("a"), F.col("text").alias("x")), "a").join(
-            bodies.select(F.col("name").alias("b"), F.col("text").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInPandas(_confirm(percent), "a binary, b binary")
+        sides = pairs.join(full.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a").join(
+            full.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return sides.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
     tried, links = [], []
     parts = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfspark.operators import match, upsert, validate
+from shelfspark.operators import match, similar, upsert, validate
 from shelfspark.plans.views import Catalogue, with_views
 
 SPLIT = "1999-01-01 00:00:00"
@@ -230,15 +230,33 @@ def _(c):
     return match.candidate_pairs(_pairing(c), overlap=0.6)
 
 
+# Every pair of titles, counted in full: characters and bigrams with their repeats.
+@entry("mt4_similar_pairs", """WITH p AS (SELECT *, lower(concat_ws(' ', title, category_slug, brand)) AS nt FROM fx_product),
+  k AS (SELECT product_id, 'e' || ean AS k FROM p WHERE ean IS NOT NULL UNION ALL SELECT product_id, 'm' || mpn || '|' || brand FROM p WHERE mpn IS NOT NULL
+    UNION ALL SELECT product_id, 's' || sku || '|' || brand FROM p WHERE sku IS NOT NULL UNION ALL SELECT product_id, 't' || nt FROM p),
+  star AS (SELECT a_id, product_id AS b_id FROM (SELECT product_id, min(product_id) OVER (PARTITION BY k) AS a_id FROM k) WHERE a_id < product_id),
+  d AS (SELECT nt, lower(brand) AS brand, min(product_id) AS id FROM p GROUP BY 1, 2),
+  g AS (SELECT id, q, gram, row_number() OVER (PARTITION BY id, q, gram) AS turn FROM (
+    SELECT id, q, unnest(list_transform(range(1, length(nt) - q + 2), lambda i: substring(nt, i, q))) AS gram FROM d, (VALUES (1), (2)) AS v(q))),
+  n AS (SELECT a.id AS a_id, b.id AS b_id, count(*) FILTER (WHERE q = 1) AS chars, count(*) FILTER (WHERE q = 2) AS bigrams
+    FROM g a JOIN g b USING (q, gram, turn) WHERE a.id < b.id GROUP BY 1, 2),
+  near AS (SELECT a_id, b_id FROM (SELECT n.*, length(a.nt) + length(b.nt) AS t, CASE WHEN a.brand = b.brand THEN 70 ELSE 75 END AS r
+      FROM n JOIN d a ON a.id = a_id JOIN d b ON b.id = b_id)
+    WHERE 200 * chars >= r * t AND bigrams >= 3 * ((r * t + 199) // 200) - t - 1)
+  SELECT * FROM star UNION SELECT * FROM near""", "fx_product")
+def _(c):
+    return similar.similar_pairs(_pairing(c))
+
+
 @entry("mt3_compare_pairs", None)
 def _(c):
-    pairs = match.pair_rows(match.candidate_pairs(_pairing(c), overlap=0.6), _pairing(c))
+    pairs = match.pair_rows(similar.similar_pairs(_pairing(c)), _pairing(c))
     return match.compare_pairs(pairs).select("a_id", "b_id", "confidence", "method", "auto_merge")
 
 
 @entry("mt5_review_queue", None)
 def _(c):
-    pairs = match.pair_rows(match.candidate_pairs(_pairing(c), overlap=0.6), _pairing(c))
+    pairs = match.pair_rows(similar.similar_pairs(_pairing(c)), _pairing(c))
     return match.review_queue(match.compare_pairs(pairs))
 
 

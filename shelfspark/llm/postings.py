@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -18,9 +17,8 @@ COORDINATES = 32
 # Two sets of similarity 0.85 agree in under 16 of 32 coordinates with probability 6e-7.
 MATCHES = 16
 PERCENT = 85
-# Rounds that pair each list with one member before the rest of a list is compared, and members compared at once.
+# Rounds that pair each list with one of its members before what is left of the lists is compared.
 HUB_ROUNDS = 2
-BLOCK = 1024
 _CHUNK = 1 << 19
 _STEP = 1 << 15
 _TEXTS = 256
@@ -125,50 +123,6 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), sets], ["name", "shingles"])
 
 
-def _compare(matches: int, percent: int):
-    """Pairs of one block whose signatures agree often enough; rows come sorted by block."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pairs(names, parts, sizes, signs):
-            out_a, out_b = [], []
-            code = pd.factorize(parts)[0]
-            step = max(1, (1 << 18) // len(names))
-            for at in range(0, len(names), step):
-                rows = slice(at, at + step)
-                # Each pair once, other parts only, sizes that can reach the similarity.
-                near = (np.arange(len(names))[None, :] > np.arange(len(names))[rows, None]) & (code[None, :] != code[rows, None])
-                low, high = np.minimum(sizes[rows, None], sizes[None, :]), np.maximum(sizes[rows, None], sizes[None, :])
-                near &= 100 * low >= percent * high
-                i, j = np.nonzero(near)
-                for cut in range(0, len(i), 1 << 17):
-                    x, y = i[cut:cut + (1 << 17)] + at, j[cut:cut + (1 << 17)]
-                    good = (signs[x] == signs[y]).sum(axis=1) >= matches
-                    out_a.append(names[x[good]])
-                    out_b.append(names[y[good]])
-            return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}) if out_a else None
-
-        rest = None
-        for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            keys = [batch[c].to_numpy() for c in ("at", "value", "p", "q")]
-            new = np.ones(len(batch), bool)
-            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-            begin = np.flatnonzero(new)
-            rest = batch.iloc[begin[-1]:] if len(begin) else batch
-            for a, b in zip(begin[:-1], begin[1:]):
-                if (found := _block(batch.iloc[a:b], pairs)) is not None:
-                    yield found
-        if rest is not None and len(rest) and (found := _block(rest, pairs)) is not None:
-            yield found
-
-    return run
-
-
-def _block(rows: pd.DataFrame, pairs):
-    if len(rows) < 2:
-        return None
-    return pairs(rows["name"].to_numpy(), rows["part"].to_numpy(), rows["size"].to_numpy(), np.stack(rows["signature"].to_numpy()))
-
-
 def posting_lists(sets: DataFrame, matches: int) -> DataFrame:
     """(at, value, name): the coordinate-value pairs under which each set is posted.
 
@@ -185,6 +139,23 @@ def posting_lists(sets: DataFrame, matches: int) -> DataFrame:
             .select("post.at", "post.value", "name"))
 
 
+def rare_shingles(full: DataFrame, percent: int) -> DataFrame:
+    """(shingle, place, size, name): the first shingles of each set, rarest first, one of which two similar sets must share.
+
+    A partner holds ``percent`` % of a set at least, so all but that share of its shingles, and one
+    more, cannot miss it.  Shingles of one set alone come first of all and are only counted.
+    """
+    tokens = full.select("name", F.explode("shingles").alias("shingle"))
+    known = tokens.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    ordered = tokens.join(known, "shingle").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("held"))
+    size = F.col("size")
+    alone = size - F.size("held")
+    first = size - F.ceil(F.lit(percent) * size / 100) + 1 - alone
+    return (ordered.join(full.select("name", F.size("shingles").alias("size")), "name").filter(first > 0)
+            .select("name", "size", alone.alias("alone"), F.posexplode(F.slice("held", F.lit(1), first.cast("int"))).alias("at", "held"))
+            .select("held.shingle", (F.col("alone") + F.col("at")).alias("place"), "size", "name"))
+
+
 def near_listing_groups(observations: DataFrame, key: str = "observation_id", text: str = "description", coordinates: int = COORDINATES,
                         matches: int = MATCHES, percent: int = PERCENT) -> DataFrame:
     """Group observations whose descriptions share ``percent`` % of their three-word shingles, chains included.
@@ -194,9 +165,11 @@ def near_listing_groups(observations: DataFrame, key: str = "observation_id", te
     from the start, so copies cost nothing beyond their own row.
 
     Each set is posted under its MinHash coordinate-value pairs, rarest first and no further than
-    the prefix that two sets with ``matches`` equal coordinates must share.  In two rounds every
-    member of a list is paired with one hub of the list; after them only members of different
-    groups are still to be compared, in blocks of bounded size.  Pairs with ``matches`` equal
+    the prefix that two sets with ``matches`` equal coordinates must share.  In two rounds the
+    members of a list outside its largest part are paired with one set of that part, so a group
+    of any size takes a few pairs per member.  After them, sets whose lists still hold several parts are
+    compared across parts where they share one of their rarest shingles, which all similar sets
+    do; so the outsiders of a great group do not meet all of it.  Pairs with ``matches`` equal
     coordinates are confirmed on the full sets of 64-bit shingle names; a link under that number
     is lost with probability below 1e-6 at the threshold and less above it.
 
@@ -238,23 +211,34 @@ def near_listing_groups(observations: DataFrame, key: str = "observation_id", te
         both = F.size(F.array_intersect("x", "y"))
         return sides.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
-    tried, links = [], []
-    parts = None
+    tried, links, parts = [], [], None
+
+    def opened(rows: DataFrame, on: list[str], turn: int) -> tuple[DataFrame, DataFrame]:
+        """Members of the lists that still hold several parts, and per list its largest part and one of its sets."""
+        members = rows.withColumn("part", F.col("name")) if parts is None else rows.join(
+            parts.withColumnRenamed("node", "name"), "name", "left").select(*rows.columns, F.coalesce("component", "name").alias("part"))
+        hubs = members.groupBy(*on, "part").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("name", F.lit(turn)), "name")).alias("one"))
+        hubs = hubs.groupBy(*on).agg(F.max(F.struct("n", "part", "one")).alias("most"), F.sum("n").alias("all")).filter("all > most.n")
+        return members, hubs.select(*on, F.col("most.part").alias("main"), F.col("most.one.name").alias("hub"))
+
     for turn in range(HUB_ROUNDS + 1):
-        members = lists.withColumn("part", F.col("name")) if parts is None else lists.join(
-            parts.withColumnRenamed("node", "name"), "name", "left").select(*lists.columns, F.coalesce("component", "name").alias("part"))
-        most = members.groupBy("at", "value", "part").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("name", F.lit(turn)), "name")).alias("one"))
-        # The largest part of each list, one of its sets as the hub, and what lies outside of it.
-        most = most.groupBy("at", "value").agg(F.max(F.struct("n", "part", "one")).alias("main"), F.sum("n").alias("all"))
-        most = most.filter("all > main.n").select("at", "value", F.col("main.part").alias("main"), F.col("main.one.name").alias("hub"),
-                                                  F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("n_rest"))
-        open_lists = members.join(most, ["at", "value"])
+        members, hubs = opened(lists, ["at", "value"], turn)
         if turn < HUB_ROUNDS:
-            pairs = open_lists.filter("part <> main").select(F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b")).distinct()
-            pairs = agreeing(pairs)
+            loose = members.join(hubs, ["at", "value"]).filter("part <> main")
+            pairs = loose.select(F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b"))
         else:
-            pairs = _blocks(open_lists.join(signs, "name"), BLOCK).mapInPandas(_compare(matches, percent), "a binary, b binary")
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            # What is still apart and shares a list may be linked only if it shares a rare shingle too.
+            names = members.join(hubs.select("at", "value"), ["at", "value"], "left_semi").select("name").distinct()
+            rare = stored(rare_shingles(full.join(names, "name", "left_semi"), percent), "rare")
+            members, hubs = opened(rare, ["shingle"], turn)
+            loose = members.join(hubs, "shingle").filter("part <> main").select(
+                "shingle", *[F.col(c).alias(f"{c}_2") for c in ("name", "part", "size", "place")])
+            apart = members.join(loose, "shingle").filter(F.col("part") != F.col("part_2"))
+            # At the first shingle they share, what follows in both must suffice for the similarity.
+            behind = F.least(F.col("size") - F.col("place"), F.col("size_2") - F.col("place_2"))
+            apart = apart.filter((100 + percent) * behind >= percent * (F.col("size") + F.col("size_2")))
+            pairs = apart.select(F.least("name", "name_2").alias("a"), F.greatest("name", "name_2").alias("b"))
+        pairs = agreeing(pairs.distinct())
         for earlier in tried:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         tried.append(stored(pairs, "candidates"))
@@ -273,28 +257,3 @@ def near_listing_groups(observations: DataFrame, key: str = "observation_id", te
     every = wordy.unionAll(rows.filter("size = 0").select("id", "size", F.col("id").alias("first")))
     return every.select(F.col("id").alias(key), F.col("size").alias("n_shingles"), F.col("first").alias("group"),
                         F.col("id").eqNullSafe(F.col("first")).alias("kept"))
-
-
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """Members of each list dealt to pairs of blocks: what is outside the main part meets everything, the main part not itself."""
-    def number(n: str) -> Column:
-        return F.ceil(F.col(n) / block).cast("int")
-
-    def upto(n: Column) -> Column:
-        return F.sequence(F.lit(0), n - 1)
-
-    rest, main = number("n_rest"), number("n_main")
-    own = F.when(F.col("part") == F.col("main"), F.pmod(F.xxhash64("name"), main)).otherwise(F.pmod(F.xxhash64("name"), rest)).cast("int")
-    dealt = members.withColumn("own", own)
-
-    def spot(p: Column, q: Column) -> Column:
-        return F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"))
-
-    own = F.col("own")
-    spots = (F.when(F.col("n_rest") + F.col("n_main") <= block, F.array(spot(F.lit(0), F.lit(0))))
-             .when(F.col("part") == F.col("main"), F.transform(upto(rest), lambda b: spot(b, rest + own)))
-             .otherwise(F.concat(F.transform(upto(main), lambda b: spot(own, rest + b)),
-                                 F.transform(upto(rest), lambda b: spot(F.least(own, b), F.greatest(own, b))))))
-    return (dealt.select("at", "value", "name", "part", "size", "signature", F.explode(spots).alias("s"))
-            .select("at", "value", "s.p", "s.q", "name", "part", "size", "signature")
-            .repartition("at", "value", "p", "q").sortWithinPartitions("at", "value", "p", "q"))

@@ -280,14 +280,14 @@ def test_groups_against_all_pairs(spark):
     assert got_groups(observations(spark, rows)) == slow_groups(rows)
 
 
-def test_one_large_group_in_blocks(spark, monkeypatch):
+def test_one_large_group_and_its_outsiders(spark):
     """A third of all rows near one another, and rows that share its lists without belonging to it."""
-    monkeypatch.setattr(postings, "BLOCK", 16)
     rng = random.Random(7)
     base = [f"w{i}" for i in range(150)]
     rows = [(i, "s", " ".join(edited(rng, base, rng.randint(0, 6)))) for i in range(200)]
     rows += [(1000 + i, "s", " ".join(edited(rng, base[:100], 2) + [f"y{i}_{j}" for j in range(40)])) for i in range(80)]
     rows += near_family(rng, 5000, 60, 120, 4)
+    rows += [(7000 + i, "s", " ".join(base[i:] + base[:i] + [f"z{j}" for j in range(i % 23)])) for i in range(0, 40, 3)]
     assert got_groups(observations(spark, rows), matches=12) == slow_groups(rows)
 
 

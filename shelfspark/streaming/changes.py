@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,6 +26,64 @@ _LAST_PRICE = T.StructType([T.StructField("price", T.StringType()), T.StructFiel
 CHANGES = T.StructType([
     T.StructField("offer_id", T.StringType()), T.StructField("price", T.StringType()), T.StructField("seen_at", T.TimestampType()),
     T.StructField("late_rows", T.LongType())])
+_PRICE = T.StructType([T.StructField("price", T.StringType())])
+ORDERED = T.StructType([T.StructField("offer_id", T.StringType()), T.StructField("price", T.StringType()), T.StructField("seen_at", T.TimestampType())])
+
+
+_MOMENT = T.StructType([T.StructField("ms", T.LongType())])
+_PRICES = T.StructType([T.StructField("prices", T.StringType())])
+
+
+class _OrderedChanges(StatefulProcessor):
+    """Waits until the watermark has passed a moment, then takes its prices in order.
+
+    Waiting rows lie in the state store under their millisecond, each with a timer; timers
+    fire in order of time.  A chunk of rows is held in memory at a time, whatever an offer gets.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("price", _PRICE)
+        self.waiting = handle.getMapState("waiting", _MOMENT, _PRICES)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            for ms, own in chunk.groupby("ms"):
+                moment = (int(ms),)
+                found = {f"{us:020d} {price}" for us, price in zip(own["us"], own["price"])}
+                if self.waiting.containsKey(moment):
+                    found |= set(self.waiting.getValue(moment)[0].split("\n"))
+                else:
+                    self.handle.registerTimer(int(ms))
+                self.waiting.updateValue(moment, ("\n".join(sorted(found)),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        moment = (int(expiredTimerInfo.getExpiryTimeInMs()),)
+        price, out = self.last.get()[0] if self.last.exists() else None, []
+        for us, new in (e.split(" ") for e in self.waiting.getValue(moment)[0].split("\n")):
+            if new != price:
+                out.append((key[0], new, dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int(us))))
+            price = new
+        self.waiting.removeKey(moment)
+        self.last.update((price,))
+        yield pd.DataFrame(out, columns=["offer_id", "price", "seen_at"])
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_price_changes(obs: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """First price and every change per offer in event-time order, once the watermark has passed it.
+
+    Rows that arrive out of order inside the watermark are put in order; later ones are dropped.
+    Rows of one moment count by price.  ``obs``: offer_id STRING, price DECIMAL, seen_at TIMESTAMP (1970 or later).
+    """
+    rows = obs.selectExpr("offer_id", "CAST(price AS STRING) AS price", "CAST(seen_at AS TIMESTAMP) AS seen_at").filter(
+        "price IS NOT NULL").withWatermark("seen_at", watermark)
+    rows = rows.selectExpr("offer_id", "price", "seen_at", "unix_micros(seen_at) AS us", "unix_millis(seen_at) AS ms")
+    return rows.groupBy("offer_id").transformWithStateInPandas(
+        statefulProcessor=_OrderedChanges(), outputStructType=ORDERED, outputMode="Append", timeMode="EventTime")
 
 
 class _PriceChanges(StatefulProcessor):
@@ -118,3 +177,17 @@ def freshness_stream(obs: DataFrame, raw_hours=None, watermark: str = "1 hour")
     rows = rows.selectExpr("offer_id", "seen_at", "unix_millis(seen_at) AS seen_ms")
     return rows.groupBy("offer_id").transformWithStateInPandas(
         statefulProcessor=_Freshness(age), outputStructType=STATES, outputMode="Append", timeMode="EventTime")
+
+
+def freshness_sessions(obs: DataFrame, raw_hours=None, watermark: str = "1 hour") -> DataFrame:
+    """(offer_id, fresh_at, stale_at) of every span in which an offer was observed often enough to stay fresh.
+
+    Built-in session windows: observations at most the freshness window apart are one span,
+    merged per offer in the state store whatever their number and order; a span is given out when
+    the watermark has passed its end.  ``obs``: offer_id STRING, seen_at TIMESTAMP.
+    """
+    # A session ends before the end of its gap, an offer is fresh up to it: one microsecond more.
+    gap = f"{int(max_age_hours(raw_hours) * 3_600_000_000) + 1} microseconds"
+    rows = obs.selectExpr("offer_id", "CAST(seen_at AS TIMESTAMP) AS seen_at").withWatermark("seen_at", watermark)
+    spans = rows.groupBy("offer_id", F.session_window("seen_at", gap).alias("span")).agg(F.count("*").alias("seen"))
+    return spans.select("offer_id", F.col("span.start").alias("fresh_at"), (F.col("span.end") - F.expr("INTERVAL 1 MICROSECOND")).alias("stale_at"), "seen")

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from shelfspark.streaming.changes import freshness_stream, price_changes_stream
+from shelfspark.streaming.changes import freshness_sessions, freshness_stream, ordered_price_changes, price_changes_stream
 
 
 def _source(spark, folder, batches, schema):
@@ -42,3 +42,62 @@ def test_freshness_goes_stale_and_returns(spark, tmp_path):
     got = [(r.offer_id, r.state, r.at) for r in rows]
     assert got[:3] == [("a", "FRESH", _at(0)), ("a", "STALE", _at(0, 2)), ("a", "FRESH", _at(0, 5))]
     assert ("b", "STALE", _at(0, 2)) in got and ("b", "STALE", _at(0, 4)) in got
+
+
+def test_ordered_price_changes(spark, tmp_path):
+    """Late rows inside the watermark are put in order, across micro-batches, and a hot offer goes chunk by chunk."""
+    from decimal import Decimal as D
+    schema = "offer_id STRING, price DECIMAL(14,2), seen_at TIMESTAMP"
+    hot = [("hot", D(i % 7 // 2), _at(0) + dt.timedelta(seconds=i)) for i in range(3000)]
+    batches = [[("a", D("10.00"), _at(3)), ("a", D("9.00"), _at(1)), ("b", D("5.00"), _at(1)), *hot[::2]],
+               [("a", D("8.00"), _at(2)), ("a", D("8.00"), _at(2)), ("b", D("5.00"), _at(4)), ("a", None, _at(2)), *hot[1::2]],
+               [("z", D("1.00"), _at(0, 9))]]
+    _run(ordered_price_changes(_source(spark, str(tmp_path / "in"), batches, schema), "6 hours"), "ordered", tmp_path)
+    got = sorted((r.offer_id, r.seen_at, r.price) for r in spark.table("ordered").collect() if r.offer_id != "z")
+    want, last = [], {}
+    for key, price, seen in sorted({r for b in batches for r in b if r[1] is not None and r[0] != "z"}, key=lambda r: (r[0], r[2], r[1])):
+        if last.get(key) != price:
+            want.append((key, seen, str(price.quantize(D("0.01")))))
+        last[key] = price
+    assert got == want
+
+
+def test_freshness_sessions(spark, tmp_path):
+    schema = "offer_id STRING, seen_at TIMESTAMP"
+    batches = [[("a", _at(0, 2)), ("b", _at(0))], [("a", _at(0)), ("b", _at(0, 3))], [("a", _at(0, 1)), ("c", _at(0, 20))], [("c", _at(0, 21))]]
+    _run(freshness_sessions(_source(spark, str(tmp_path / "in"), batches, schema), raw_hours=24, watermark="10 days"), "spans", tmp_path)
+    got = sorted(tuple(r) for r in spark.table("spans").collect())
+    # Exactly one window apart is still fresh; the last span is open.
+    assert got == [("a", _at(0), _at(0, 3), 3), ("b", _at(0), _at(0, 2), 1), ("b", _at(0, 3), _at(0, 4), 1)]
+
+
+def test_redelivered_observations_vanish(spark, tmp_path):
+    import json
+    import os
+
+    from shelfspark.plans.importing import Importer
+    from shelfspark.streaming.ingest import ingest_stream
+    from test_import import LINES
+
+    stores = spark.createDataFrame([("s1", "maximum"), ("s2", "darwin")], "store_id STRING, slug STRING")
+    (tmp_path / "in").mkdir()
+    parts = [LINES[:2] + LINES[:1], LINES[1:], LINES]
+    importer = Importer(spark, str(tmp_path / "db"), stores)
+
+    def deliver(numbers, stop=False):
+        for i in numbers:
+            name = tmp_path / "in" / f"{i}.json"
+            name.write_text("\n".join(map(json.dumps, parts[i])) + "\n{broken\n")
+            os.utime(name, (1_700_000_000 + i, 1_700_000_000 + i))
+        query = ingest_stream(spark, str(tmp_path / "in"), importer, str(tmp_path / "ck"), files_per_batch=1, available_now=True)
+        if stop:
+            query.stop()
+        query.awaitTermination(300)
+        assert query.exception() is None
+
+    deliver([0])
+    deliver([1], stop=True)  # killed anywhere, then started again
+    deliver([2])
+    counts = {r.batch_id: (r.imported, r.failed) for r in importer.log.rows().select("batch_id", "imported", "failed").distinct().collect()}
+    assert sum(i for i, _ in counts.values()) == 3 and sum(f for _, f in counts.values()) == 3
+    assert importer.read("offers").count() == 2 and importer.read("history").count() == 3

@@ -156,6 +156,18 @@ def rare_shingles(full: DataFrame, percent: int) -> DataFrame:
             .select("held.shingle", (F.col("alone") + F.col("at")).alias("place"), "size", "name"))
 
 
+def differences(full: DataFrame, bases: DataFrame) -> DataFrame:
+    """(name, base, delta): the shingles that tell a set from the base of its group, what it lacks marked by its complement.
+
+    The difference of two sets is that of their deltas, so sets close to one base are compared
+    exactly by a few values.  A delta over half of the set is left out.
+    """
+    base = full.select(F.col("name").alias("base"), F.col("shingles").alias("b"))
+    both = full.join(bases, "name").join(base, "base")
+    delta = F.concat(F.array_except("shingles", "b"), F.transform(F.array_except("b", "shingles"), lambda s: F.bitwise_not(s)))
+    return both.select("name", "base", delta.alias("delta"), F.size("shingles").alias("n")).filter("2 * size(delta) <= n").drop("n")
+
+
 def near_listing_groups(observations: DataFrame, key: str = "observation_id", text: str = "description", coordinates: int = COORDINATES,
                         matches: int = MATCHES, percent: int = PERCENT) -> DataFrame:
     """Group observations whose descriptions share ``percent`` % of their three-word shingles, chains included.
@@ -169,7 +181,8 @@ def near_listing_groups(observations: DataFrame, key: str = "observation_id", te
     members of a list outside its largest part are paired with one set of that part, so a group
     of any size takes a few pairs per member.  After them, sets whose lists still hold several parts are
     compared across parts where they share one of their rarest shingles, which all similar sets
-    do; so the outsiders of a great group do not meet all of it.  Pairs with ``matches`` equal
+    do, and, around one hub, differ from it alike; so the outsiders of a great group are not
+    paired with all of it.  Pairs with ``matches`` equal
     coordinates are confirmed on the full sets of 64-bit shingle names; a link under that number
     is lost with probability below 1e-6 at the threshold and less above it.
 
@@ -231,9 +244,19 @@ def near_listing_groups(observations: DataFrame, key: str = "observation_id", te
             names = members.join(hubs.select("at", "value"), ["at", "value"], "left_semi").select("name").distinct()
             rare = stored(rare_shingles(full.join(names, "name", "left_semi"), percent), "rare")
             members, hubs = opened(rare, ["shingle"], turn)
+            # Sets that agree with a common hub are told apart by how they differ from it.
+            near = tried[0].unionAll(tried[1])
+            around = stored(connected_components(near, "a", "b").join(near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(
+                F.count("*").alias("n")), "node"), "around")
+            bases = around.groupBy("component").agg(F.max_by("node", F.struct("n", "node")).alias("base"))
+            deltas = differences(full, around.join(bases, "component").select(F.col("node").alias("name"), "base").join(names, "name", "left_semi"))
+            members = members.join(hubs.select("shingle"), "shingle", "left_semi").join(stored(deltas, "deltas"), "name", "left")
             loose = members.join(hubs, "shingle").filter("part <> main").select(
-                "shingle", *[F.col(c).alias(f"{c}_2") for c in ("name", "part", "size", "place")])
+                "shingle", *[F.col(c).alias(f"{c}_2") for c in ("name", "part", "size", "place", "base", "delta")])
             apart = members.join(loose, "shingle").filter(F.col("part") != F.col("part_2"))
+            unlike = F.size("delta") + F.size("delta_2") - 2 * F.size(F.array_intersect("delta", "delta_2"))
+            unlike = F.when(F.col("base") == F.col("base_2"), unlike).otherwise(0)
+            apart = apart.filter((100 + percent) * unlike <= (100 - percent) * (F.col("size") + F.col("size_2")))
             # At the first shingle they share, what follows in both must suffice for the similarity.
             behind = F.least(F.col("size") - F.col("place"), F.col("size_2") - F.col("place_2"))
             apart = apart.filter((100 + percent) * behind >= percent * (F.col("size") + F.col("size_2")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -55,13 +56,14 @@ class _OrderedChanges(StatefulProcessor):
                     found |= set(self.waiting.getValue(moment)[0].split("\n"))
                 else:
                     self.handle.registerTimer(int(ms))
-                self.waiting.updateValue(moment, ("\n".join(sorted(found)),))
+                self.waiting.updateValue(moment, ("\n".join(found),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         moment = (int(expiredTimerInfo.getExpiryTimeInMs()),)
         price, out = self.last.get()[0] if self.last.exists() else None, []
-        for us, new in (e.split(" ") for e in self.waiting.getValue(moment)[0].split("\n")):
+        found = (e.split(" ") for e in self.waiting.getValue(moment)[0].split("\n"))
+        for us, new in sorted(found, key=lambda e: (e[0], Decimal(e[1]))):
             if new != price:
                 out.append((key[0], new, dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int(us))))
             price = new

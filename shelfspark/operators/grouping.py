@@ -43,3 +43,27 @@ def lag_by_key(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str]
         .withColumns({f"prev_{v}": previous[v] for v in values})
         .drop("_piece", "_row", "_prev", "_carried")
     )
+
+
+# monotonically_increasing_id() holds the partition above this many bits and the row in it below.
+_ROW_BITS = 33
+
+
+def page_of(rows: DataFrame, order: Sequence[Column], page: int, size: int, rank: str, total: str) -> DataFrame:
+    """Rows of one page under ``order``, with their 1-based ``rank`` and the ``total`` number of rows.
+
+    The rows are sorted once in ranges and stored; counts per range tell where a page lies, so
+    every page costs the same and no task holds the pages before it.  ``order`` ends in a unique column.
+    """
+    placed = cut_lineage(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    # One number per sorted range.
+    counts = dict(placed.groupBy(F.shiftright("_at", _ROW_BITS).cast("int").alias("part")).count().collect())
+    first, last = (page - 1) * size, page * size
+    inside, number, before = F.lit(False), F.lit(None).cast("long"), 0
+    for part, n in sorted(counts.items()):
+        if before < last and before + n > first:
+            start = part << _ROW_BITS
+            here = F.col("_at").between(start + max(first - before, 0), start + min(last - before, n) - 1)
+            inside, number = inside | here, F.when(here, F.col("_at") - F.lit(start) + F.lit(before + 1)).otherwise(number)
+        before += n
+    return placed.filter(inside).withColumns({rank: number.cast("long"), total: F.lit(before).cast("long")}).drop("_at")

@@ -13,7 +13,7 @@ from shelfspark.functions.clock import fresh_since, open_state
 from shelfspark.functions.commerce import is_available
 from shelfspark.functions.geo import bounding_box, haversine_km, in_box, valid_coordinates
 from shelfspark.functions.text import blank_to_null
-from shelfspark.operators.grouping import top_per_group
+from shelfspark.operators.grouping import page_of, top_per_group
 
 DEFAULT_PAGE_SIZE = 48
 
@@ -138,11 +138,8 @@ def best_offer(offers: DataFrame) -> DataFrame:
 
 
 def _page(matching: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page with its rank; the window runs over at most one page of rows."""
-    rows = matching.orderBy(*order).offset((page - 1) * size).limit(size)
-    rank = F.row_number().over(Window.orderBy(*order)) + (page - 1) * size
-    total = matching.agg(F.count("*")).scalar()
-    return rows.select("*", rank.cast("long").alias("product_rank"), total.alias("total")).withColumn(
+    """One page of products with its ranks; only the sorted columns travel."""
+    return page_of(matching, order, page, size, "product_rank", "total").withColumn(
         "total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long"))
 
 
@@ -165,8 +162,8 @@ def search_catalog(products: DataFrame, offers: DataFrame, stores: DataFrame, av
     else:
         matching = text.join(wanted, "product_id", "left_semi")
         key = F.col("title")
-    order = [key.desc() if sort == "price-desc" else key, F.col("product_id")]
-    pages = _page(matching, order, page, size).select(
+    order = [F.col("_key").desc() if sort == "price-desc" else F.col("_key"), F.col("product_id")]
+    pages = _page(matching.select("product_id", "title", key.alias("_key")), order, page, size).select(
         "product_id", "title", "product_rank", "total", "total_pages")
     rows = wanted.join(pages, "product_id")
     if near:
@@ -192,7 +189,7 @@ def category_page(products: DataFrame, offers: DataFrame, stores: DataFrame, slu
     """Products directly in a category that have a fresh, available offer."""
     wanted = fresh_offers(offers, stores, as_of, max_age).filter(is_available("stock_status"))
     matching = products.filter(F.col("category_slug") == slug).join(wanted, "product_id", "left_semi")
-    pages = _page(matching, [F.col("title"), F.col("product_id")], page, size).select(
+    pages = _page(matching.select("product_id", "title"), [F.col("title"), F.col("product_id")], page, size).select(
         "product_id", "title", "product_rank", "total", "total_pages")
     return wanted.join(pages, "product_id").select(
         "product_rank", "product_id", "title", "total", "total_pages", "offer_id", "price", "stock_status",

@@ -80,18 +80,20 @@ def extract_links(pages: DataFrame, keys: Sequence[str], url: str = "url", html:
 def reachable_products(links: DataFrame, seeds: DataFrame, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(site, product url) reachable over listing links, and (site, pages_visited, cap_reached).
 
-    ``links`` holds (site, page_url, url, kind); ``seeds`` holds (site, url).  All sites
-    advance one depth per round.  With ``max_pages`` a site stops at so many listing pages,
-    taken in (depth, url) order, and says so; without it every page is visited.
+    ``links`` holds (site, page_url, url, kind); ``seeds`` holds (site, url).  With ``max_pages``
+    a site stops at so many listing pages, taken in (depth, url) order, and says so; all sites
+    advance one depth per round.  Without it every page is visited, and a chain of n pages takes
+    about log2(n) rounds.
     """
     listing = links.filter("kind = 'listing'").select("site", "page_url", "url").distinct()
+    if max_pages is None:
+        pages = _reached(listing, seeds.select("site", "url").distinct())
+        return _products_of(links, pages), pages.groupBy("site").agg(F.count("*").alias("pages_visited")).withColumn("cap_reached", F.lit(False))
     frontier = cut_lineage(seeds.select("site", "url").distinct())
     visited, capped, depth = None, None, 0
     while not frontier.isEmpty():
-        taken = frontier
-        if max_pages is not None:
-            taken, over = _within_budget(frontier, visited, max_pages)
-            capped = over if capped is None else capped.union(over)
+        taken, over = _within_budget(frontier, visited, max_pages)
+        capped = over if capped is None else capped.union(over)
         taken = taken.select("site", "url", F.lit(depth).alias("depth"))
         visited = cut_lineage(taken if visited is None else visited.unionByName(taken))
         # The pages of this round, read from the stored table rather than computed again.
@@ -101,16 +103,49 @@ def reachable_products(links: DataFrame, seeds: DataFrame, max_pages: int | None
         depth += 1
     if visited is None:
         visited = frontier.withColumn("depth", F.lit(0))
-    pages = visited.select("site", F.col("url").alias("page_url"))
-    products = (links.filter("kind = 'product'").select("site", "page_url", "url").join(pages, ["site", "page_url"], "left_semi")
-                .select("site", "url").distinct())
     summary = visited.groupBy("site").agg(F.count("*").alias("pages_visited"))
+    products = _products_of(links, visited)
     if capped is None:
         return products, summary.withColumn("cap_reached", F.lit(False))
     return products, summary.join(capped.distinct().withColumn("cap_reached", F.lit(True)), "site", "left").withColumn(
         "cap_reached", F.coalesce("cap_reached", F.lit(False)))
 
 
+def _products_of(links: DataFrame, pages: DataFrame) -> DataFrame:
+    pages = pages.select("site", F.col("url").alias("page_url"))
+    return (links.filter("kind = 'product'").select("site", "page_url", "url").join(pages, ["site", "page_url"], "left_semi")
+            .select("site", "url").distinct())
+
+
+def _reached(listing: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(site, url) of all pages that listing links lead to from the seeds, seeds included.
+
+    A page that one page alone links to is reached exactly when that page is.  Such pages are
+    hung on the first page above them of another kind by doubling their pointers; the frontier
+    then walks over the others only, from one joint of the graph to the next.
+    """
+    parents = listing.filter("page_url <> url").groupBy("site", "url").agg(F.count("*").alias("n"), F.min("page_url").alias("up"))
+    chain = cut_lineage(parents.filter("n = 1").join(seeds, ["site", "url"], "left_anti").select("site", "url", "up"))
+    length, steps = chain.count(), 1
+    while steps <= 2 * length:  # a ring of such pages has no top; nothing leads into it
+        above = chain.select("site", F.col("url").alias("up"), F.col("up").alias("_next"))
+        moved = cut_lineage(chain.join(above, ["site", "up"], "left").select(
+            "site", "url", F.coalesce("_next", "up").alias("up"), F.col("_next").isNotNull().alias("_moved")))
+        chain, steps = moved.select("site", "url", "up"), 2 * steps
+        if moved.filter("_moved").isEmpty():
+            break
+    tops = chain.select("site", F.col("url").alias("page_url"), F.col("up").alias("_top"))
+    joints = cut_lineage(listing.join(chain.select("site", "url"), ["site", "url"], "left_anti").join(tops, ["site", "page_url"], "left")
+                         .select("site", F.coalesce("_top", "page_url").alias("page_url"), "url").distinct())
+    frontier = visited = cut_lineage(seeds)
+    while not frontier.isEmpty():
+        now = frontier.select("site", F.col("url").alias("page_url"))
+        frontier = cut_lineage(joints.join(now, ["site", "page_url"]).select("site", "url").distinct().join(visited, ["site", "url"], "left_anti"))
+        visited = cut_lineage(visited.unionByName(frontier))
+    hung = chain.join(visited.select("site", F.col("url").alias("up")), ["site", "up"], "left_semi").select("site", "url")
+    return visited.unionByName(hung)
+
+
 def _within_budget(frontier: DataFrame, visited: DataFrame | None, max_pages: int) -> tuple[DataFrame, DataFrame]:
     """(pages that still fit, sites that had more)."""
     room = F.lit(max_pages)

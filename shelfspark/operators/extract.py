@@ -16,8 +16,10 @@ from shelfspark.functions.text import (
 from shelfspark.operators.grouping import top_per_group
 from shelfspark.sources.feeds import (
     PRICE_KEYS, PRICE_PARTS, TITLE_KEYS, at, fields_of, items_of, pick, pick_text, scalar_type, text_at, text_of, unwrap)
+from shelfspark.rule_tables import ImageRules
 from shelfspark.session import cut_lineage
 
+IMAGES = ImageRules()
 
 
 def _path_of(category: Column) -> Column:
@@ -162,18 +164,19 @@ def products_from_jsonld(pages: DataFrame, keys: Sequence[str], url: str = "url"
         "external_id", F.coalesce("sku", "ean", "mpn", url_key("url")))
 
 
-def usable_image(url: Column, social: Column) -> Column:
+def usable_image(url: Column, social: Column, images: ImageRules = IMAGES) -> Column:
     text = F.lower(strip(url))
-    plain = (text != "") & ~text.startswith("data:") & ~any_of(text, rules.BAD_IMAGE_TOKENS)
-    return plain & ~(social & any_of(text, rules.SOCIAL_IMAGE_TOKENS))
+    plain = (text != "") & ~text.startswith("data:") & ~any_of(text, images.rejected)
+    return plain & ~(social & any_of(text, images.rejected_social))
 
 
-def pick_image(candidates: Column) -> Column:
+def pick_image(candidates: Column, images: ImageRules = IMAGES) -> Column:
     """First usable candidate: selectors in order, lazy attributes before src, social pictures last."""
-    return F.try_element_at(F.filter(candidates, lambda i: usable_image(i["url"], i["social"])), F.lit(1))["url"]
+    return F.try_element_at(F.filter(candidates, lambda i: usable_image(i["url"], i["social"], images)), F.lit(1))["url"]
 
 
-def products_from_html(pages: DataFrame, keys: Sequence[str], url: str = "url", html: str = "html", mode: str = "html") -> DataFrame:
+def products_from_html(pages: DataFrame, keys: Sequence[str], url: str = "url", html: str = "html", mode: str = "html",
+                       image_rules: ImageRules = IMAGES) -> DataFrame:
     """Product pages without structured data; ``mode="rendered"`` for pages saved after rendering.
 
     ``page_text`` stays in the result for store-specific enrichers.
@@ -197,7 +200,7 @@ def products_from_html(pages: DataFrame, keys: Sequence[str], url: str = "url",
         quantity.alias("quantity"), c.page_stock(F.lower(F.concat_ws(" ", *words)), quantity, mode).alias("stock_status"),
         strip(sku).alias("sku"), h("brand").alias("brand"), h("description").alias("description"), path.alias("category_path"),
         marker.alias("category_path_source"), c.currency(h("currency"), h("page_text")).alias("currency"),
-        pick_image(h("images")).alias("_image"), h("images").alias("images"), h("page_text").alias("page_text"),
+        pick_image(h("images"), image_rules).alias("_image"), h("images").alias("images"), h("page_text").alias("page_text"),
         F.lit("html-generic" if mode == "html" else "browser-rendered").alias("source"))
     rows = rows.filter(F.col("title").isNotNull() & F.col("price").isNotNull())
     return rows.withColumns({

@@ -15,38 +15,41 @@ from shelfspark import rules
 from shelfspark.functions.html import html_text, parse_anchors
 from shelfspark.functions.text import any_of, clean_url, col, resolve_url, same_origin, url_part
 from shelfspark.operators.grouping import top_per_group
+from shelfspark.rule_tables import ApiRules, LinkRules
 from shelfspark.session import cut_lineage
 
+LINKS, APIS = LinkRules(), ApiRules()
 
-def is_product_path(path: Column) -> Column:
+
+def is_product_path(path: Column, links: LinkRules = LINKS) -> Column:
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     detail = path.endswith("-detail") | ((F.size(parts) >= 4) & F.coalesce(F.try_element_at(parts, F.lit(-1)).contains("detail"), F.lit(False)))
-    return any_of(path, rules.PRODUCT_PATH_TOKENS) | (path.contains("/katalog/") & detail)
+    return any_of(path, links.product_paths) | (path.contains("/katalog/") & detail)
 
 
-def skip_href(href: Column) -> Column:
+def skip_href(href: Column, links: LinkRules = LINKS) -> Column:
     text = F.lower(href)
-    return text.rlike("^(?:#|mailto:|tel:|javascript:)") | text.contains("novosti") | any_of(text, rules.SKIP_TOKENS)
+    return text.rlike("^(?:#|mailto:|tel:|javascript:)") | text.contains("novosti") | any_of(text, links.skipped)
 
 
-def is_catalog_entry(url: Column, text: Column) -> Column:
+def is_catalog_entry(url: Column, text: Column, links: LinkRules = LINKS) -> Column:
     path = F.regexp_replace(F.lower(url_part(url, "path")), "/+$", "")
     by_path = F.lit(False)
-    for token in rules.ENTRY_PATH_TOKENS:
+    for token in links.entry_paths:
         by_path = by_path | path.endswith(token) | path.contains(f"{token}/")
-    return ~any_of(path, rules.NEWS_TOKENS) & (any_of(F.lower(text), rules.ENTRY_TEXT_TOKENS) | by_path)
+    return ~any_of(path, links.news) & (any_of(F.lower(text), links.entry_texts) | by_path)
 
 
 _OTHER_PAGES = ("/ru/article/", "/ro/article/", "/ru/page/", "/ro/page/", "/ru/articles/", "/ro/articles/", "/ru/brand/", "/ro/brand/")
 _OTHER_TOKENS = ("/cart", "/checkout", "/compare", "/favorites", "/login", "/search")
 
 
-def _kind(store_rule: Column, href: Column, url: Column, a: Column) -> Column:
+def _kind(store_rule: Column, href: Column, url: Column, a: Column, links: LinkRules) -> Column:
     path = url_part(url, "path")
     lower = F.lower(path)
     generic = (
-        F.when(skip_href(href), "skip").when(is_product_path(lower) | a["card"] | a["near_price"], "product")
-        .when(any_of(lower, rules.LISTING_PATH_TOKENS) | any_of(F.lower(a["text"]), rules.LISTING_TEXT_TOKENS), "listing").otherwise("skip"))
+        F.when(skip_href(href, links), "skip").when(is_product_path(lower, links) | a["card"] | a["near_price"], "product")
+        .when(any_of(lower, links.listing_paths) | any_of(F.lower(a["text"]), links.listing_texts), "listing").otherwise("skip"))
     depth = F.size(F.filter(F.split(path, "/"), lambda s: s != ""))
     shelf = (F.when(~path.contains("/ru/catalogue/"), "skip")
              .when((depth >= 5) & (F.length(a["text"]) >= 4) & a["shelf_price"], "product").otherwise("listing"))
@@ -58,10 +61,12 @@ def _kind(store_rule: Column, href: Column, url: Column, a: Column) -> Column:
             .when(store_rule == "html-generic", simple).otherwise(generic))
 
 
-def extract_links(pages: DataFrame, keys: Sequence[str], url: str = "url", html: str = "html", store_rule: Column | None = None) -> DataFrame:
+def extract_links(pages: DataFrame, keys: Sequence[str], url: str = "url", html: str = "html", store_rule: Column | None = None,
+                  links: LinkRules = LINKS) -> DataFrame:
     """One row per anchor: absolute url, kind (product, listing, skip), catalogue-entry flag.
 
-    ``store_rule`` chooses a store's own link rule; null means the generic one.
+    ``store_rule`` chooses a store's own link rule; null means the generic one, which takes its
+    tokens from ``links``.
     """
     rule = F.lit("") if store_rule is None else F.coalesce(store_rule, F.lit(""))
     rows = pages.select(*keys, F.col(url).alias("page_url"), rule.alias("_rule"), F.posexplode(parse_anchors(F.col(html))).alias("pos", "a"))
@@ -71,8 +76,8 @@ def extract_links(pages: DataFrame, keys: Sequence[str], url: str = "url", html:
     rows = rows.withColumn("url", target)
     inside = same_origin("url", "page_url")
     empty = F.col("a.href") == ""
-    kind = F.when(empty | ~inside, "skip").otherwise(_kind(F.col("_rule"), F.col("a.href"), F.col("url"), F.col("a")))
-    entry = ~empty & ~F.lower("a.href").rlike("^(?:#|mailto:|tel:|javascript:)") & same_origin("_abs", "page_url") & is_catalog_entry(F.col("_abs"), F.col("a.text"))
+    kind = F.when(empty | ~inside, "skip").otherwise(_kind(F.col("_rule"), F.col("a.href"), F.col("url"), F.col("a"), links))
+    entry = ~empty & ~F.lower("a.href").rlike("^(?:#|mailto:|tel:|javascript:)") & same_origin("_abs", "page_url") & is_catalog_entry(F.col("_abs"), F.col("a.text"), links)
     return rows.select(*keys, "page_url", "pos", F.col("a.href").alias("href"), "url", F.col("a.text").alias("text"),
                        kind.alias("kind"), F.coalesce(entry, F.lit(False)).alias("catalog_entry"))
 
@@ -157,19 +162,20 @@ def _within_budget(frontier: DataFrame, visited: DataFrame | None, max_pages: in
     return step.filter("_in").select("site", "url"), step.filter("not _in").select("site").distinct()
 
 
-def initial_listing_urls(seeds: DataFrame) -> DataFrame:
+def initial_listing_urls(seeds: DataFrame, links: LinkRules = LINKS) -> DataFrame:
     """Start pages per site (site, base_url, seed): same host, no product pages, home page included."""
     named = seeds.select("site", "base_url", resolve_url("base_url", F.coalesce("seed", F.col("base_url"))).alias("u"))
     both = named.unionByName(seeds.select("site", "base_url", F.col("base_url").alias("u")))
-    cleaned = both.withColumn("url", clean_url("u")).filter(same_origin("url", "base_url") & ~is_product_path(F.lower(url_part("url", "path"))))
+    cleaned = both.withColumn("url", clean_url("u")).filter(same_origin("url", "base_url") & ~is_product_path(F.lower(url_part("url", "path")), links))
     return cleaned.select("site", "url").distinct()
 
 
-def api_candidates(pages: DataFrame, keys: Sequence[str], url: str = "url", text: str = "html") -> DataFrame:
+def api_candidates(pages: DataFrame, keys: Sequence[str], url: str = "url", text: str = "html", apis: ApiRules = APIS) -> DataFrame:
     """Distinct same-origin endpoint addresses named in page or script text."""
-    lists = [F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(1)) for p in rules.API_PATTERNS]
+    lists = [F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(1)) for p in apis.patterns]
     found = F.transform(F.flatten(F.array(*lists)), lambda m: F.struct(m.alias("m"), F.lit(False).alias("f")))
-    fetched = F.transform(F.regexp_extract_all(text, F.lit("(?i)" + rules.FETCH_PATTERN), F.lit(1)), lambda m: F.struct(m.alias("m"), F.lit(True).alias("f")))
+    fetches = F.array(*[F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(1)) for p in apis.fetches])
+    fetched = F.transform(F.flatten(fetches), lambda m: F.struct(m.alias("m"), F.lit(True).alias("f")))
     rows = pages.select(*keys, F.col(url).alias("page_url"), F.explode(F.array_distinct(F.concat(found, fetched))).alias("c"))
     rows = rows.withColumn("api_url", resolve_url("page_url", F.col("c.m")))
     lower = F.lower("api_url")
@@ -199,13 +205,14 @@ def _rank_list(rows: DataFrame, value: str, order: list[Column], name: str, limi
     return best.groupBy("site").agg(F.transform(packed, lambda s: s["v"]).alias(name))
 
 
-def source_profile(pages: DataFrame, site: Column, limit: int | None = None) -> DataFrame:
+def source_profile(pages: DataFrame, site: Column, limit: int | None = None, context_table=rules.CONTEXT_PATTERNS,
+                   links: LinkRules = LINKS, apis: ApiRules = APIS) -> DataFrame:
     """Per site: page hints, context hints, and the best catalogue, feed and API addresses."""
     rows = pages.select(site.alias("site"), "url", "html")
     flags = page_flags()
-    contexts = [F.when(F.lower(html_text("html")).rlike("(?iU)" + p), F.lit(n)) for n, p in rules.CONTEXT_PATTERNS]
+    contexts = [F.when(F.lower(html_text("html")).rlike("(?iU)" + p), F.lit(n)) for n, p in context_table]
     seen = rows.select("site", *[v.alias(k) for k, v in flags.items()], F.filter(F.array(*contexts), lambda x: x.isNotNull()).alias("ctx"))
-    labels = [n for n, _ in rules.CONTEXT_PATTERNS]
+    labels = [n for n, _ in context_table]
     base = seen.groupBy("site").agg(
         F.count("*").alias("pages"), *[F.bool_or(k).alias(k) for k in flags],
         *[F.bool_or(F.array_contains("ctx", n)).alias(f"_c{i}") for i, n in enumerate(labels)])
@@ -214,18 +221,18 @@ def source_profile(pages: DataFrame, site: Column, limit: int | None = None) ->
 
     path = F.regexp_replace(url_part("url", "path"), "/+$", "")
     depth = F.length(F.regexp_replace(path, "[^/]", ""))
-    entries = extract_links(rows, ["site"]).filter("catalog_entry").select("site", resolve_url("page_url", "href").alias("url"))
+    entries = extract_links(rows, ["site"], links=links).filter("catalog_entry").select("site", resolve_url("page_url", "href").alias("url"))
     catalogs = _rank_list(entries, "url", [depth, F.length(url_part("url", "path")), F.col("url")], "catalog_urls", limit)
 
     tags = rows.select("site", F.col("url").alias("page_url"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_TAG_LINK), F.lit(1)))).alias("ref"))
     tags = tags.withColumn("link", resolve_url("page_url", "ref")).filter(F.col("link").isNotNull())
     plain = F.lower(F.substring_index("link", "?", 1))
-    is_feed = plain.rlike("(?:" + "|".join(e.replace(".", r"\.") for e in rules.FEED_EXTENSIONS) + ")$")
+    is_feed = plain.rlike("(?:" + "|".join(e.replace(".", r"\.") for e in apis.feed_endings) + ")$")
     feeds = _rank_list(tags.filter(is_feed), "link", [F.col("link")], "feed_urls", limit)
     from_tags = tags.filter((plain.contains("/api/") | plain.contains("/graphql")) & same_origin("link", "page_url")).select("site", F.col("link").alias("api_url"))
-    apis = _rank_list(api_candidates(rows, ["site"]).unionByName(from_tags), "api_url", [F.col("api_url")], "api_urls", limit)
+    endpoints = _rank_list(api_candidates(rows, ["site"], apis=apis).unionByName(from_tags), "api_url", [F.col("api_url")], "api_urls", limit)
     nothing = F.array().cast("array<string>")
-    out = base.join(catalogs, "site", "left").join(feeds, "site", "left").join(apis, "site", "left")
+    out = base.join(catalogs, "site", "left").join(feeds, "site", "left").join(endpoints, "site", "left")
     return out.withColumns({n: F.coalesce(n, nothing) for n in ("catalog_urls", "feed_urls", "api_urls")})
 
 

@@ -23,16 +23,18 @@ from shelfspark.llm.toxicity import fit_toxicity, toxicity
 from shelfspark.session import ensure_checkpoint_dir
 
 TOXIC_FROM = 0.7
-_ROW = "__row"
 
 
 def _kept(docs: DataFrame, operator) -> DataFrame:
     """Rows that a deduplication keeps: smallest id first (null last), then the first row."""
-    numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
-    texts = numbered.select(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.col(_ROW)).alias("observation_id"),
+    row = "__row"
+    while row in map(str.lower, docs.columns):  # never the name of a given column
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    texts = numbered.select(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.col(row)).alias("observation_id"),
                             F.col("text").alias("description"))
-    kept = operator(texts).filter("kept").select(F.col(f"observation_id.{_ROW}").alias(_ROW))
-    return numbered.join(kept, _ROW, "left_semi").select(*docs.columns)
+    kept = operator(texts).filter("kept").select(F.col(f"observation_id.{row}").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

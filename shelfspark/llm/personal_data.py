@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import cut_lineage, listing_texts
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+# Kinds with a plain pattern; secrets come from the labelers alone.
+BASE_KINDS = KINDS[:4]
 # Same matches as the plain patterns, written so that each text position is tried once and nothing recurses.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -21,6 +23,8 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 # Forms that the plain patterns miss: spelt-out addresses, national numbers.
 SPELT_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,64}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,64}){1,8}"
 NATIONAL_PHONE = r"(?<![0-9+.,])\(?0[0-9]{2}\)?[ -]?[0-9]{2,3}[ -]?[0-9]{2}[ -]?[0-9]{1,3}(?![0-9])"
+# Keys and access tokens: one run of letters, digits, underscores and hyphens.
+SECRET = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"
 
 # Gazetteers; fixed values.
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "md", "ro", "ru", "ua", "eu", "de", "fr", "es", "it", "uk", "us")
@@ -28,12 +32,15 @@ CALLING_CODES = ("1", "7", "33", "34", "39", "40", "44", "48", "49", "90", "373"
 MOBILE_PREFIXES = ("06", "07", "02", "05", "08")
 CARD_PREFIXES = ("4", "51", "52", "53", "54", "55", "34", "37", "60", "65", "35", "22", "23", "24", "25", "26", "27")
 LOCAL_NETS = ("0.", "255.")
+SECRET_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "sk_live_", "sk_test_", "pk_live_", "xoxb-", "xoxp-", "eyJ")
+DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 # Context words before a span, by kind; fixed values.
 CUES = {
     "email": ("mail", "e-mail", "email", "contact", "write", "scrie", "почта"),
     "ip": ("ip", "host", "server", "address", "login"),
     "card": ("card", "visa", "mastercard", "iban", "cont", "карта"),
     "phone": ("tel", "phone", "call", "mobil", "fax", "whatsapp", "viber", "sunati", "тел"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "key", "bearer", "credential", "parola", "пароль"),
 }
 AGAINST = ("sku", "ean", "isbn", "cod", "code", "model", "order", "version", "ver", "articol", "артикул", "price", "lei", "mdl")
 CONTEXT_CHARS = 32
@@ -129,6 +136,12 @@ def candidates(text: Column) -> Column:
     def domain(m):
         return F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(*TOP_DOMAINS)
 
+    def random(m):
+        """Hexadecimal of 32 or more with letters, or mixed case with three digits and no hyphen."""
+        hexadecimal = m.rlike("^[0-9a-fA-F]{32,}$") & m.rlike("[a-fA-F]") & m.rlike("[0-9]")
+        mixed = ~F.contains(m, F.lit("-")) & m.rlike("[a-z]") & m.rlike("[A-Z]") & (F.length(_digits(m)) >= 3)
+        return hexadecimal | mixed | _starts(m, SECRET_PREFIXES)
+
     return F.concat(
         labelled("email", _matches(text, EMAIL, at), True, lambda m: F.lit(True), domain),
         labelled("email", _matches(text, SPELT_EMAIL, spelt), False, lambda m: F.lit(True), domain),
@@ -137,7 +150,9 @@ def candidates(text: Column) -> Column:
         labelled("phone", _matches(text, PHONE, plus), True, count(9, 15),
                  lambda m: _starts(_digits(m), CALLING_CODES)),
         labelled("phone", _matches(text, NATIONAL_PHONE, always), False, count(9, 10),
-                 lambda m: _starts(_digits(m), MOBILE_PREFIXES)))
+                 lambda m: _starts(_digits(m), MOBILE_PREFIXES)),
+        labelled("secret", _matches(text, SECRET, always), False, random,
+                 lambda m: _starts(m, SECRET_PREFIXES) | F.length(m).isin(*DIGEST_LENGTHS)))
 
 
 def _posterior(model: dict) -> Column:
@@ -197,7 +212,7 @@ def train_classifier(patterns: DataFrame, model: dict) -> Column:
 
 def find_personal_data(observations: DataFrame, key: str = "observation_id", text: str = "description",
                        threshold: float = 0.5) -> DataFrame:
-    """Find e-mail addresses, IP addresses, card and phone numbers in every whole text.
+    """Find e-mail addresses, IP addresses, card and phone numbers, and secrets, in every whole text.
 
     Regex, check-digit, gazetteer, context and edge labelers vote on all candidate spans;
     expectation-maximisation over the counted vote patterns of the corpus estimates how reliable
@@ -206,9 +221,10 @@ def find_personal_data(observations: DataFrame, key: str = "observation_id", tex
     that fail their check (digit sum, range, length) only after a context word for their kind.
 
     Result, one row per observation, repeated rows included: ``key`` and ``spans``, an array of
-    (kind, start, end, base, chance), by kind (email, ip, card, phone), then start, in code
-    points, end exclusive.  A null or empty text has no spans.  Other columns are ignored; an
-    empty table gives no rows.
+    (kind, start, end, base, chance), by kind (email, ip, card, phone, secret), then start, in code
+    points, end exclusive; of two spans of one kind and start the shorter comes first.  A null or
+    empty text has no spans; a very long one is searched whole, each position once.  Other
+    columns are ignored; an empty table gives no rows.
     """
     rows = cut_lineage(listing_texts(observations, key, text).select(F.col(key).alias("id"), candidates(F.col(text)).alias("found")))
     patterns = cut_lineage(rows.select(F.explode("found").alias("s")).select("s.kind", *[f"s.{v}" for v in VOTERS])
@@ -228,7 +244,13 @@ def find_personal_data(observations: DataFrame, key: str = "observation_id", tex
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"),
                         F.when((s["check"] == 1) | F.coalesce(s["context"] == 1, F.lit(False)), value).otherwise(0.0).alias("chance"))
 
-    spans = F.array_sort(F.filter(F.transform("found", judged), lambda s: s["base"] | (s["chance"] >= threshold)))
+    rows = rows.select("id", F.filter(F.transform("found", judged), lambda s: s["base"] | (s["chance"] >= threshold)).alias("found"))
+    # What lies in a plain find of its kind, or in a secret, adds nothing.
+    secret = KINDS.index("secret")
+    over = F.filter("found", lambda s: s["base"] | (s["kind"] == secret))
+    inside = lambda s: F.exists(over, lambda o: (o["base"] & (o["kind"] == s["kind"]) | (o["kind"] == secret) & (s["kind"] != secret))
+                                & (o["start"] < s["end"]) & (s["start"] < o["end"]))
+    spans = F.array_sort(F.filter("found", lambda s: s["base"] | ~inside(s)))
     named = F.transform(spans, lambda s: F.struct(
         F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         s["base"].alias("base"), s["chance"].alias("chance")))

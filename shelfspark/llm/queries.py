@@ -11,7 +11,7 @@ from shelfspark.llm.decontaminate import benchmark_passages
 from shelfspark.llm.exact import deduplicate_texts
 from shelfspark.llm.mixing import mix_stores
 from shelfspark.llm.paragraphs import repeated_paragraphs
-from shelfspark.llm.personal_data import KINDS, find_personal_data
+from shelfspark.llm.personal_data import BASE_KINDS, find_personal_data
 from shelfspark.llm.phrases import mine_phrases
 from shelfspark.llm.postings import near_listing_groups
 from shelfspark.llm.quality import score_quality
@@ -42,7 +42,7 @@ def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     def number(kind):
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return out.select(F.col("observation_id").alias("doc_id"), *[number(k) for k in KINDS],
+    return out.select(F.col("observation_id").alias("doc_id"), *[number(k) for k in BASE_KINDS],
                       F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 

@@ -1,9 +1,11 @@
 """Row names and ids that clash with the operators' own."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfspark.llm import chat
+from shelfspark.llm import chat, personal_data
 
 
 def test_copies_go_whatever_the_columns_are_called(spark):
@@ -24,3 +26,20 @@ def test_conversations_with_ids_of_any_kind(spark):
     assert got == {"x-1": (2, 2), None: (1, 2), "": (1, 0)}
     whole = chat.expand_prefix_targets(turns.withColumn("conv_id", F.lit(5).cast("long")))
     assert whole.schema["conv_id"].dataType.simpleString() == "bigint" and {r.conv_id for r in whole.collect()} == {5}
+
+
+def test_secrets_are_added_and_other_long_words_are_not(spark):
+    rng = random.Random(3)
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    planted, texts = [], []
+    for i in range(60):
+        secret = (pick("0123456789abcdef", 39) + "a", "AKIA" + pick("ABCDEFGHIJ0123456789", 16), "ghp_" + pick("abcXYZ019", 36))[i % 3]
+        planted.append(secret)
+        texts.append(f'buy now {("token", "api_key", "secret")[i % 3]} = "{secret}" or call +1 (017) 555-7713')
+    clean = ["Donaudampfschifffahrtsgesellschaftskapitän", "iphone-15-pro-max-256gb-titan-blue", "https://img.example/catalogue/washing-machine-9kg-a1",
+             "1234567890123456789012345678901234567890", "_" * 4000, "sku: washing_machine_front_loader_9kg_1400rpm"]
+    rows = spark.createDataFrame(list(enumerate(texts + clean)), "observation_id long, description string")
+    got = {r.observation_id: [(s.kind, (texts + clean)[r.observation_id][s.start:s.end]) for s in r.spans if not s.base]
+           for r in personal_data.find_personal_data(rows).collect()}
+    assert [got[i] for i in range(60)] == [[("secret", s)] for s in planted]
+    assert not any(got[60 + i] for i in range(len(clean)))

@@ -44,8 +44,8 @@ def deduplicate_texts(
     Result, one row per observation, repeated rows included: ``key``, ``kept_<key>``,
     ``copies``, ``kept``, ``text_sha256``.  The row with most code points stays, then the
     smallest key (null last); of fully equal rows exactly one is kept.  A null text is
-    empty and all empty texts are one group.  Other columns are ignored; an empty table
-    gives no rows.
+    empty and all empty texts are one group.  A very long text has more levels of pairs, about
+    log2 of its blocks.  Other columns are ignored; an empty table gives no rows.
     """
     kept_key = f"kept_{key}"
     body = listing_texts(observations, key, text).select(

@@ -95,7 +95,10 @@ def mix_stores(
     ``target`` (of its store), ``taken`` (words, repeats counted; at most ``max_repeats`` x
     ``words``).  A null text has no words.  Null keys and repeated rows are rows of their
     own; where equal rows take different amounts, which is which does not show.  Reruns
-    agree.  Other columns are ignored; an empty table gives no rows.
+    agree.  Rows of a shard go by the digest of key and text, then key, then size; what is equal in
+    all three is alike.
+    A very long text is one row of many words, taken whole block by block.  Other columns are
+    ignored; an empty table gives no rows.
     """
     texts = listing_texts(observations, key, text, store)
     rows = cut_lineage(texts.select(

@@ -202,8 +202,9 @@ def score_quality(observations: DataFrame, labels: DataFrame, key: str = "observ
 
     Result, one row per observation, repeated rows included: ``key``, ``score`` (0 to 1) and
     ``passages`` (how many were weighed).  A null text is empty; an empty text is one empty
-    passage.  Without labels of both classes all scores are equal.  Other columns are ignored;
-    an empty table gives no rows.
+    passage.  Without labels of both classes all scores are equal.  All passages of a very long
+    text are scored; the fit sees ``SAMPLE_PASSAGES`` of a labelled one.  Equal texts have equal
+    scores.  Other columns are ignored; an empty table gives no rows.
     """
     shared = observations.sparkSession.sparkContext.broadcast(fit_quality(observations, labels, key, text, label, sample_rows))
     result = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("passages", T.IntegerType())])

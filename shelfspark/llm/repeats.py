@@ -237,7 +237,9 @@ def remove_repeats(observations: DataFrame, key: str = "observation_id", text: s
     judged on the input.  Result, one row per observation, repeated rows included (they repeat
     each other): ``key``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and
     ``removed`` (array of start, end in bytes).  A null text is empty.  Other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  A very long text is read in pieces that lose no window;
+    overlapping and touching runs are one span.  Rows are numbered, and the input is read several
+    times: it must come in the same order each time, as a stored table does.
     """
     spark = observations.sparkSession
     if gram > length:

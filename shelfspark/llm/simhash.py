@@ -127,7 +127,8 @@ def near_duplicate_texts(observations: DataFrame, key: str = "observation_id", t
     Result, one row per observation, repeated rows included: ``key``, ``fingerprint`` (16 hex
     digits), ``group`` (smallest key of the group, null keys aside) and ``kept`` (exactly one
     row of a group: smallest key, null last).  A null text is empty.  Other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  A very long text is hashed whole, in chunks; a bit set
+    in exactly half of the shingles is 0.
     """
     rows = cut_lineage(listing_texts(observations, key, text).select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), fingerprint(F.col(text)).alias("print")))

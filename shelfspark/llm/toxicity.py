@@ -306,7 +306,9 @@ def score_toxicity(
     Result, one row per observation, repeated rows included: ``key``, ``score``, ``passages``
     (first and last word, weight; significant ones).  A null text is empty; an empty text has
     the score of a text without evidence.  Without labels of both classes no passage is found
-    and all scores are equal.  Other columns are ignored; an empty table gives no rows.
+    and all scores are equal.  A very long text is scanned whole, in memory in proportion to it;
+    passages that tie in weight are all listed, in text order; an id labelled several times is
+    toxic if any label says so.  Other columns are ignored; an empty table gives no rows.
     """
     model = fit_toxicity(observations, labels, key, text, label, sample_rows)
     out = observations.select(F.col(key), toxicity(observations, model, F.col(text)).alias("r"))

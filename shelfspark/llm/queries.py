@@ -117,7 +117,8 @@ def with_periods(documents: DataFrame) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string"))
     words = documents.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.filter(
         F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).alias("words"))
-    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    # No words, no remainder by their number.
+    n, g = F.nullif(F.size("words"), F.lit(0)), F.floor(F.col("h") / 10)
     a = (g % n).cast("int")
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
     again = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))

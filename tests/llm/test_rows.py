@@ -1,11 +1,12 @@
 """Row names and ids that clash with the operators' own."""
 
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfspark.llm import chat, personal_data
+from shelfspark.llm import chat, personal_data, queries
 
 
 def test_copies_go_whatever_the_columns_are_called(spark):
@@ -43,3 +44,10 @@ def test_secrets_are_added_and_other_long_words_are_not(spark):
            for r in personal_data.find_personal_data(rows).collect()}
     assert [got[i] for i in range(60)] == [[("secret", s)] for s in planted]
     assert not any(got[60 + i] for i in range(len(clean)))
+
+
+def test_periods_are_planted_only_where_there_are_words(spark):
+    tenth = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    docs = spark.createDataFrame([(tenth, ""), (tenth, " \n"), (tenth, None), (None, "a b a b"), (None, None), (tenth, "one"), (tenth + 1, " x  y ")], "doc_id long, text string")
+    got = [r.text for r in queries.with_periods(docs.coalesce(1)).collect()]
+    assert got[:6] == ["", " \n", None, "a b a b", None, "one"] and got[6] == " x  y "
